@@ -2,7 +2,7 @@
 
 Every bit position of a fingerprint gets a nonzero code of radius + 1 bits. For
 each nonzero vector v of as many bits, one mask keeps the positions whose code
-has an even product with v. Two fingerprints that differ in at most ``radius``
+has an odd product with v. Two fingerprints that differ in at most ``radius``
 positions agree under some mask: that few codes leave a nonzero v with an even
 product with all of them. So 2**(radius + 1) - 1 tables find every pair.
 
@@ -33,7 +33,7 @@ def covering_masks(radius: int, positions: list[int], turn: int = 0) -> list[int
     """The masks over these bit positions."""
     codes = (1 << (radius + 1)) - 1
     code = {p: 1 + (i + turn) % codes for i, p in enumerate(positions)}
-    return [sum(1 << p for p in positions if (code[p] & v).bit_count() % 2 == 0) for v in range(1, codes + 1)]
+    return [sum(1 << p for p in positions if (code[p] & v).bit_count() % 2) for v in range(1, codes + 1)]
 
 
 def signed(x: int) -> int:
