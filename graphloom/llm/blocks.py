@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoint_dir, id_text, shuffle_partitions, written
 
 #: Blocks for each shuffle partition.
-BLOCKS = 2
+BLOCKS = 4
 ASK = "bucket long, block long, payload binary"
 ANSWER = "block long, kind int, bucket long, payload binary"
 

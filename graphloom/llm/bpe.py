@@ -33,8 +33,8 @@ OTHER_SPACE = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x168
 WIDE_SPACE = ["  ", " \n", "\n ", "\n\n", *OTHER_SPACE]
 SINGLE_SPACE = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 NO_RANK = np.int32(2**31 - 1)
-#: Words kept by a worker (about 120 MB).
-KEPT_WORDS = 600_000
+#: Words kept by a worker (about 70 MB).
+KEPT_WORDS = 350_000
 #: Longer pre-tokens are merged one by one, so that no row is padded to their length.
 LONG_WORD = 64
 

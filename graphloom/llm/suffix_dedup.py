@@ -28,6 +28,8 @@ from .common import chunks_of, mix, utf8_buffer, written
 LENGTH, GRAM = 50, 16
 #: Windows in one stretch at most.
 STRETCH = 64
+#: Bytes of one suffix array: a shard with more is split by further bits of the minimisers.
+SHARD_BYTES, PARTS = 1 << 20, 4096
 #: Stands for a null id: later than every other, and not before another null.
 LAST = (1 << 63) - 1
 
@@ -59,7 +61,7 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, k: int) -> np.nd
     begin = end - size
     order = lms[np.argsort(t[lms], kind="stable")]
     number = np.bincount(t[lms], minlength=k)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     put = np.cumsum(number)
     sa[np.arange(len(order)) + np.repeat(end - put, number)] = order
     head, lms_at = begin.copy(), end - number
@@ -150,7 +152,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(lms) > 1:
         rough = _induce(t, s_type, lms, k)
-        mark = np.full(n, -1, np.int64)
+        mark = np.full(n, -1, np.int32)
         mark[lms] = np.arange(len(lms))
         in_order = mark[rough]
         in_order = in_order[in_order >= 0]
@@ -182,13 +184,13 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, begins: np.ndarray,
     The common prefix of position i is at least that of i-1 less one; the pieces go side by side, a column at a time.
     """
     n = len(t)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     wide = np.concatenate([t.astype(np.uint8), np.zeros(16, np.uint8)])
     words = np.ndarray((n + 8,), "<u8", wide, strides=(1,))
     out = np.zeros(n, np.int32)
     # how far it is from each position to the end of its piece; marks have nowhere to go
-    reach = np.zeros(n, np.int64)
+    reach = np.zeros(n, np.int32)
     reach[: ends[-1]] = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(ends[-1])
     reach[ends[:-1]] = 0
     by = np.argsort(begins - ends, kind="stable")  # longest first, so that live pieces are a prefix
@@ -357,6 +359,8 @@ class Block:
         np.minimum.at(self.owner, self.content, self.ids[self.row])
         home = np.zeros(len(seen), np.int64)
         home[self.content] = bucket
+        self.part = np.zeros(len(seen), np.uint16)
+        self.part[self.content] = self.keys & np.uint64(PARTS - 1)
         self.order = np.argsort(home, kind="stable")
         self.edges = np.searchsorted(home[self.order], np.arange(len(self.buckets) + 1))
 
@@ -366,7 +370,7 @@ class Block:
         for b, (x, y) in enumerate(zip(self.edges, self.edges[1:])):
             if y > x:
                 pieces = [self.pieces[i] for i in self.order[x:y]]
-                out.append((int(self.buckets[b]), pack(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.uint16), self.owner[self.order[x:y]])))
+                out.append((int(self.buckets[b]), pack(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.uint16), self.owner[self.order[x:y]], self.part[self.order[x:y]])))
         return out
 
     def removed(self) -> np.ndarray:
@@ -423,14 +427,26 @@ def _owners(length: int):
         parts = [unpack(p) for p in payloads]
         seen: dict[bytes, int] = {}
         index = []
-        for text, size, _ in parts:
+        for text, size, _, _ in parts:
             raw, ends = text.tobytes(), np.cumsum(size.astype(np.int64)).tolist()
             index.append(np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *ends], ends)), np.int64, len(size)))
-        owner = np.full(len(seen), LAST, np.int64)
-        for i, (_, _, own) in zip(index, parts):
+        pieces = list(seen)
+        del seen
+        owner = np.full(len(pieces), LAST, np.int64)
+        part = np.zeros(len(pieces), np.int64)
+        for i, (_, _, own, bits) in zip(index, parts):
             np.minimum.at(owner, i, own)
-        least, first = smallest_owner(list(seen), owner, length)
-        windows = np.diff(first)
+            part[i] = bits
+        windows = np.array([len(p) for p in pieces], np.int64) - length + 1
+        first = np.concatenate([[0], np.cumsum(windows)])
+        least = np.empty(first[-1], np.int64)
+        # equal windows have one minimiser, and so are in one part
+        part %= max(1, -(-int((windows + length).sum()) // SHARD_BYTES))
+        for p in np.unique(part):
+            members = np.flatnonzero(part == p)
+            found, begin = smallest_owner([pieces[i] for i in members], owner[members], length)
+            count = windows[members]
+            least[np.repeat(first[members] - begin[:-1], count) + np.arange(begin[-1])] = found
         out = []
         for i in index:
             count = windows[i]
