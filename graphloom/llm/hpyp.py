@@ -7,9 +7,10 @@ vocabulary. Seating is sampled by Gibbs: given how many tables its context has
 and what the parent predicts, the tables of one dish depend on no other dish, so
 a sweep resamples all dishes side by side; their numbers of tables are then
 gathered for the contexts and for the parent. A dish's customers are seated anew
-in one go, table by table (the wait for the next new table has a known law), and
-the new seating is accepted by Metropolis' rule, which leaves the conditional
-law as it is. Predictive probabilities are averaged over the later samples.
+one after the other, and the new seating is accepted by Metropolis' rule, which
+leaves the conditional law as it is; beyond the first GROUP customers of a
+frequent dish, those that raise the seated ones by a sixteenth sit down together.
+Predictive probabilities are averaged over the later samples.
 
 The counts come from the whole corpus: blocks of documents ask for the counts of
 their words, then of their word pairs, then for the tables of both (see blocks).
@@ -32,6 +33,8 @@ from .common import ASCII_LOWER, NOT_BLANK, chunks_of, mix, span_hashes, utf8_bu
 #: Tokens that are no words: the end of a text, and the context at its beginning.
 END, START = np.uint64(0xE17D5EA1C0FFEE01), np.uint64(0x57A127ED0BEEF003)
 HELD_OUT_MODULUS = 7
+#: So many customers of a dish are seated one by one.
+GROUP = 64
 
 
 @dataclass(frozen=True)
@@ -42,21 +45,13 @@ class Model:
     strength: float = 2.0
     parent_discount: float = 0.5
     parent_strength: float = 10.0
-    burn_in: int = 2
-    samples: int = 3
+    burn_in: int = 4
+    samples: int = 6
 
 
 # ---- seating ----------------------------------------------------------------------------------------
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after a shift by eight; good to 1e-10 for positive x."""
-    shift = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
-    y = x + 8
-    z = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z / 1260)) / y - np.log(shift)
-
-
 def uniform(keys: np.ndarray, turn: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on key and turn only."""
     with np.errstate(over="ignore"):
@@ -64,35 +59,60 @@ def uniform(keys: np.ndarray, turn: int) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(float) + 0.5) / 2**53
 
 
+def binomial(keys: np.ndarray, turn: int, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Successes in ``n`` trials: by the inverse distribution function, or, if many are expected, by the normal law."""
+    u = uniform(keys, turn)
+    out = (u < p).astype(np.int64)
+    group = np.flatnonzero(n > 1)
+    if not len(group):
+        return out
+    u, trials = u[group], n[group]
+    rare = np.minimum(p[group], 1 - p[group])
+    mean = trials * rare
+    found = np.zeros(len(group), np.int64)
+    many = mean > 12
+    if many.any():
+        z = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * np.pi * uniform(keys[group[many]], turn + 500_000))
+        found[many] = np.clip(np.rint(mean[many] + z * np.sqrt(mean[many] * (1 - rare[many]))), 0, trials[many])
+    few = np.flatnonzero(~many)
+    chance = (1 - rare[few]) ** trials[few]
+    below = chance.copy()
+    k, odds = 0, rare[few] / (1 - rare[few])
+    while len(few):
+        more = (u[few] > below) & (k < trials[few])
+        few, chance, below, odds = few[more], chance[more], below[more], odds[more]
+        chance = chance * odds * (trials[few] - k) / (k + 1)
+        below = below + chance
+        k += 1
+        found[few] = k
+    out[group] = np.where(p[group] > 0.5, trials - found, found)
+    return out
+
+
 def seat(keys: np.ndarray, customers: np.ndarray, weight: np.ndarray, discount: float, turn: int) -> tuple[np.ndarray, np.ndarray]:
     """Tables of each dish, and the log of the seating's importance, if ``weight`` is the chance weight of a new table.
 
-    The first customer opens a table. With i seated at t tables, the next m all sit down at open ones with probability
-    G(i+m-dt) G(w+i-dt) / (G(i-dt) G(w+i+m-dt)), G being the gamma function; the wait is found by bisection.
+    The first customer opens a table; with i seated at t tables the next opens one with chance w / (w + i - d t).
     """
     tables, log_weight = np.ones(len(keys), np.int64), np.zeros(len(keys))
     live = np.flatnonzero(customers > 1)
-    seated = np.ones(len(live), np.int64)
+    k, c, w, i, t, g = keys[live], customers[live], weight[live], np.ones(len(live), np.int64), np.ones(len(live), np.int64), np.zeros(len(live))
     draw = 0
     while len(live):
-        c, w, t = customers[live], weight[live], tables[live]
-        a = seated - discount * t
-        base = log_gamma(w + a) - log_gamma(a)
-        aim = np.log(uniform(keys[live], turn * 1_000_003 + draw))
-        # the largest m with log survival(m) >= aim: so many sit down before the next table opens
-        low, high = np.zeros(len(live), np.int64), c - seated
-        while (low < high).any():
-            mid = (low + high + 1) // 2
-            stays = log_gamma(a + mid) - log_gamma(w + a + mid) + base >= aim
-            low, high = np.where(stays, mid, low), np.where(stays, high, mid - 1)
-        opens = seated + low < c
-        steps = low + opens
-        log_weight[live] += log_gamma(w + a + steps) - log_gamma(w + a)
-        tables[live[opens]] += 1
-        seated = seated + steps
-        more = seated < c
-        live, seated = live[more], seated[more]
+        m = np.minimum(np.where(i < GROUP, 1, i >> 4), c - i)
+        rate = w + i - discount * t
+        if draw >= GROUP - 1:
+            # in a group, the chance at its middle
+            rate = rate + (m - 1) * (1 - discount * w / rate) / 2
+        t = t + binomial(k, turn * 1_000_003 + draw, m, w / rate)
+        g = g + m * np.log(rate)
+        i = i + m
         draw += 1
+        done = i >= c
+        if done.any():
+            tables[live[done]], log_weight[live[done]] = t[done], g[done]
+            more = ~done
+            live, k, c, w, i, t, g = live[more], k[more], c[more], w[more], i[more], t[more], g[more]
     return tables, log_weight
 
 

@@ -394,13 +394,21 @@ def test_seating_follows_the_conditional_law():
     law = np.array([stirling.get((c, t), 0.0) * w**t for t in range(c + 1)])
     expected = (law * np.arange(c + 1)).sum() / law.sum()
     keys = np.arange(1, 4001).astype(np.uint64)
-    mean = hpyp.sweeps(keys, np.full(4000, c), np.full(4000, w), d, 1, 5, 20).mean()
-    assert abs(mean - expected) < 0.06
-
-
-def test_log_gamma():
-    x = np.array([1e-3, 0.2, 1, 2.5, 30, 1e6])
-    assert np.allclose(hpyp.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
+    mean = hpyp.sweeps(keys, np.full(4000, c), np.full(4000, w), d, 1, 30, 40).mean()
+    assert abs(mean - expected) < 0.04
+
+
+def test_binomial_and_groups():
+    keys = np.arange(1, 20_001).astype(np.uint64)
+    for n, p in ((1, 0.3), (5, 0.2), (5, 0.9), (40, 0.1), (400, 0.3)):
+        got = hpyp.binomial(keys, 9, np.full(len(keys), n), np.full(len(keys), p))
+        assert abs(got.mean() - n * p) < 5 * (n * p * (1 - p) / len(keys)) ** 0.5 and abs(got.std() - (n * p * (1 - p)) ** 0.5) < 0.05 * (n * p * (1 - p)) ** 0.5 + 0.01
+    # seated in groups or one by one, a frequent dish has as many tables
+    tables, _ = hpyp.seat(keys[:3000], np.full(3000, 1500), np.full(3000, 3.0), 0.5, 1)
+    rng, alone = np.random.default_rng(0), np.ones(3000)
+    for i in range(1, 1500):
+        alone += rng.random(3000) < 3.0 / (3.0 + i - 0.5 * alone)
+    assert abs(tables.mean() - alone.mean()) < 0.02 * alone.mean()
 
 
 def test_pipeline(spark, tmp_path):
