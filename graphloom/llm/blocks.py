@@ -46,6 +46,8 @@ class Blocks:
         parts = self.partitions = shuffle_partitions(spark)
         keys = even_keys(spark, parts, BLOCKS)
         self.buckets = np.array(keys[:parts], np.int64)
+        #: For questions that come with much text.
+        self.fine = np.array(keys, np.int64)
         rows = id_text(docs, id_col, text_col)
         number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(keys)))
         rows = rows.withColumn("block", F.element_at(F.lit(keys), (number + 1).cast("int")).cast("long"))

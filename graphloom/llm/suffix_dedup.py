@@ -287,8 +287,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
 class Block:
     """One block's texts, ids, and what it has been told so far."""
 
-    def __init__(self, docs: pa.Table, got: dict, buckets: np.ndarray, length: int):
-        self.buckets, self.length = buckets, length
+    def __init__(self, docs: pa.Table, got: dict, blocks: tuple[np.ndarray, np.ndarray], length: int):
+        (self.buckets, self.fine), self.length = blocks, length
         self.data, self.offsets = utf8_buffer(docs.column("text").combine_chunks())
         ids = docs.column("doc_id").combine_chunks()
         self.ids = np.where(ids.is_null().to_numpy(zero_copy_only=False), LAST, ids.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -350,7 +350,7 @@ class Block:
                 flag[x:y] = np.unpackbits(unpack(self.got[1][int(self.buckets[b])])[0], count=y - x).astype(bool)
         keep = flag[inverse]
         self.keys, self.start, self.count, self.row = self.keys[keep], self.start[keep], self.count[keep], self.row[keep]
-        bucket = np.searchsorted(np.array([(b << 64) // len(self.buckets) for b in range(1, len(self.buckets))], np.uint64), self.keys, side="right")
+        bucket = np.searchsorted(np.array([(b << 64) // len(self.fine) for b in range(1, len(self.fine))], np.uint64), self.keys, side="right")
         seen: dict[bytes, int] = {}
         raw, more = self.raw, self.length - 1
         self.content = np.fromiter((seen.setdefault(raw[s : s + c + more], len(seen)) for s, c in zip(self.start.tolist(), self.count.tolist())), np.int64, len(self.start))
@@ -362,7 +362,7 @@ class Block:
         self.part = np.zeros(len(seen), np.uint16)
         self.part[self.content] = self.keys & np.uint64(PARTS - 1)
         self.order = np.argsort(home, kind="stable")
-        self.edges = np.searchsorted(home[self.order], np.arange(len(self.buckets) + 1))
+        self.edges = np.searchsorted(home[self.order], np.arange(len(self.fine) + 1))
 
     def ask_pieces(self) -> list[tuple]:
         self.candidates()
@@ -370,7 +370,7 @@ class Block:
         for b, (x, y) in enumerate(zip(self.edges, self.edges[1:])):
             if y > x:
                 pieces = [self.pieces[i] for i in self.order[x:y]]
-                out.append((int(self.buckets[b]), pack(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.uint16), self.owner[self.order[x:y]], self.part[self.order[x:y]])))
+                out.append((int(self.fine[b]), pack(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.uint16), self.owner[self.order[x:y]], self.part[self.order[x:y]])))
         return out
 
     def removed(self) -> np.ndarray:
@@ -382,7 +382,7 @@ class Block:
         least: list = [None] * len(self.pieces)
         for b, (x, y) in enumerate(zip(self.edges, self.edges[1:])):
             if y > x:
-                runs, size, value = unpack(self.got[2][int(self.buckets[b])])
+                runs, size, value = unpack(self.got[2][int(self.fine[b])])
                 all_ = np.repeat(value, size)
                 at = 0
                 for i in self.order[x:y]:
@@ -467,7 +467,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     goes only if all its bytes do, so that it stays valid; digests and counts are of bytes. Other columns are not read.
     """
     blocks = Blocks(docs, id_col, text_col)
-    keys = blocks.buckets
+    keys = (blocks.buckets, blocks.fine)
     first = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys, length).ask_digests()), 0, _first_ids)
     several = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys, length).ask_keys(), first), 1, _in_several)
     told = first.unionByName(several)
