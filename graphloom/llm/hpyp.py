@@ -141,8 +141,9 @@ def sweeps(keys: np.ndarray, customers: np.ndarray, weight: np.ndarray, discount
 class Block:
     """One block's tokens, as distinct words and distinct pairs, and the answers it has."""
 
-    def __init__(self, docs: pa.Table, got: dict, buckets: np.ndarray):
-        self.got, self.buckets, self.docs = got, buckets, docs
+    def __init__(self, docs: pa.Table, got: dict, buckets: tuple[np.ndarray, np.ndarray]):
+        self.got, self.docs = got, docs
+        self.buckets, self.fine = buckets
         data, offsets = utf8_buffer(docs.column("text").combine_chunks())
         self.n = len(offsets) - 1
         hashes, counts = [], []
@@ -182,15 +183,16 @@ class Block:
         place[order] = np.arange(len(order))
         self.pair = place[inverse]
 
-    def messages(self, keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-        cut = cut_by_bucket(keys, len(self.buckets))
-        return [(int(self.buckets[b]), pack(pack_keys(keys[x:y]), *[c for col in columns for c in (pack_counts(col[x:y]) if col.dtype.kind == "i" else [col[x:y]])])) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+    @staticmethod
+    def messages(buckets: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+        cut = cut_by_bucket(keys, len(buckets))
+        return [(int(buckets[b]), pack(pack_keys(keys[x:y]), *[c for col in columns for c in (pack_counts(col[x:y]) if col.dtype.kind == "i" else [col[x:y]])])) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
 
-    def answered(self, kind: int, keys: np.ndarray, columns: int) -> list[np.ndarray]:
-        cut, out = cut_by_bucket(keys, len(self.buckets)), []
+    def answered(self, kind: int, buckets: np.ndarray, keys: np.ndarray, columns: int) -> list[np.ndarray]:
+        cut, out = cut_by_bucket(keys, len(buckets)), []
         for b, (x, y) in enumerate(zip(cut, cut[1:])):
             if y > x:
-                out.append(unpack(self.got[kind][int(self.buckets[b])]))
+                out.append(unpack(self.got[kind][int(buckets[b])]))
         if not out:
             return [np.zeros(0)] * columns
         if columns == 1:
@@ -200,11 +202,11 @@ class Block:
     # the rounds
 
     def ask_words(self) -> list[tuple]:
-        return self.messages(self.words, self.word_count)
+        return self.messages(self.buckets, self.words, self.word_count)
 
     def ask_pairs(self) -> list[tuple]:
         self.pairs()
-        return self.messages(self.key, self.pair_count)
+        return self.messages(self.fine, self.key, self.pair_count)
 
     def seating(self, totals: tuple, model: Model, word_weight: np.ndarray, tables_of: np.ndarray, first: int) -> np.ndarray:
         """Mean tables of each pair, given the parent's prediction and the tables of each context (START last)."""
@@ -214,8 +216,8 @@ class Block:
     def know(self, totals: tuple, model: Model) -> None:
         """Global counts of words, contexts (as often as words, but that the end has none) and pairs."""
         self.pairs()
-        self.known = self.answered(1, self.words, 1)[0]
-        self.count = self.answered(2, self.key, 1)[0]
+        self.known = self.answered(1, self.buckets, self.words, 1)[0]
+        self.count = self.answered(2, self.fine, self.key, 1)[0]
         self.tokens, self.vocabulary, self.texts = totals
         self.customers = np.append(self.known, self.texts)
         self.customers[np.flatnonzero(self.words == END)] = 0
@@ -229,7 +231,7 @@ class Block:
         share = np.where(self.count > 0, tables * self.pair_count / np.maximum(self.count, 1), 0)
         as_dish = np.bincount(self.word, share, len(self.words))
         as_context = np.bincount(self.context, share, len(self.words) + 1)
-        out = self.messages(self.words, as_dish.astype(np.float32), as_context[:-1].astype(np.float32))
+        out = self.messages(self.buckets, self.words, as_dish.astype(np.float32), as_context[:-1].astype(np.float32))
         # the context at the beginning of texts is no word; its tables go with the block's first message
         bucket, first = out[0]
         out[0] = (bucket, pack(*unpack(first), as_context[-1:]))
@@ -237,7 +239,7 @@ class Block:
 
     def score(self, totals: tuple, parent: tuple, model: Model) -> pa.Table:
         self.know(totals, model)
-        dish, tables_of = self.answered(3, self.words, 2)
+        dish, tables_of = self.answered(3, self.buckets, self.words, 2)
         customers0, tables0, start_tables = parent
         tables_of = np.append(tables_of, start_tables)
         own = parent_tables(self.words, dish, model, self.vocabulary)
@@ -315,7 +317,7 @@ def score_documents(docs: DataFrame, model: Model = Model(), id_col: str = "doc_
     from, all probabilities are uniform. Other columns are not read. ``base_score`` smooths single words by adding one.
     """
     blocks = Blocks(docs, id_col, text_col)
-    keys, remainder = blocks.buckets, 2
+    keys, remainder = (blocks.buckets, blocks.fine), 2
     blocks.docs = blocks.docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder)
     words = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_words()), 1, _sums)
     tokens, vocabulary, _ = _about(words)
