@@ -64,13 +64,16 @@ def fit(texts: list[bytes], y: np.ndarray, alpha: float = 5.0, beta: float = 1.0
     """FTRL-proximal, one example at a time; places that fewer texts have are not included. Without examples, or with one label only, the model is its bias."""
     offsets = np.cumsum([0, *map(len, texts)])
     data = np.frombuffer(b"".join(texts), np.uint8)
-    parts = [np.zeros(0, np.int64)]
-    for i, j in chunks_of(offsets):
+    row_parts, place_parts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for i, j in chunks_of(offsets, 1 << 20):
         rows, places = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        parts.append(np.unique((rows + i) << BITS | places))
-    once = np.concatenate(parts)
-    once = once[np.bincount(once & ((1 << BITS) - 1), minlength=1 << BITS)[once & ((1 << BITS) - 1)] >= least_texts]
-    rows, places = once >> BITS, once & ((1 << BITS) - 1)
+        once = np.unique((rows + i) << BITS | places)
+        row_parts.append((once >> BITS).astype(np.int32))
+        place_parts.append((once & ((1 << BITS) - 1)).astype(np.int32))
+    rows, places = np.concatenate(row_parts), np.concatenate(place_parts)
+    del row_parts, place_parts
+    common = (np.bincount(places, minlength=1 << BITS) >= least_texts)[places]
+    rows, places = rows[common], places[common]
     at = np.searchsorted(rows, np.arange(len(texts) + 1))
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     share = (y.sum() + 0.5) / (len(y) + 1)
