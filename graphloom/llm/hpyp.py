@@ -9,7 +9,7 @@ a sweep resamples all dishes side by side; their numbers of tables are then
 gathered for the contexts and for the parent. A dish's customers are seated anew
 one after the other, and the new seating is accepted by Metropolis' rule, which
 leaves the conditional law as it is; beyond the first GROUP customers of a
-frequent dish, those that raise the seated ones by a sixteenth sit down together.
+frequent dish, those that raise the seated ones by an eighth sit down together.
 Predictive probabilities are averaged over the later samples.
 
 The counts come from the whole corpus: blocks of documents ask for the counts of
@@ -45,8 +45,8 @@ class Model:
     strength: float = 2.0
     parent_discount: float = 0.5
     parent_strength: float = 10.0
-    burn_in: int = 4
-    samples: int = 6
+    burn_in: int = 2
+    samples: int = 4
 
 
 # ---- seating ----------------------------------------------------------------------------------------
@@ -70,7 +70,7 @@ def binomial(keys: np.ndarray, turn: int, n: np.ndarray, p: np.ndarray) -> np.nd
     rare = np.minimum(p[group], 1 - p[group])
     mean = trials * rare
     found = np.zeros(len(group), np.int64)
-    many = mean > 12
+    many = mean > 6
     if many.any():
         z = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * np.pi * uniform(keys[group[many]], turn + 500_000))
         found[many] = np.clip(np.rint(mean[many] + z * np.sqrt(mean[many] * (1 - rare[many]))), 0, trials[many])
@@ -99,7 +99,7 @@ def seat(keys: np.ndarray, customers: np.ndarray, weight: np.ndarray, discount:
     k, c, w, i, t, g = keys[live], customers[live], weight[live], np.ones(len(live), np.int64), np.ones(len(live), np.int64), np.zeros(len(live))
     draw = 0
     while len(live):
-        m = np.minimum(np.where(i < GROUP, 1, i >> 4), c - i)
+        m = np.minimum(np.where(i < GROUP, 1, i >> 3), c - i)
         rate = w + i - discount * t
         if draw >= GROUP - 1:
             # in a group, the chance at its middle
