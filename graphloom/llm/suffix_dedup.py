@@ -460,7 +460,8 @@ def _owners(length: int):
 
 
 def mark_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``texts`` the remaining text; one row for each row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row for each row. With ``texts`` also kept_text, what remains
+    of a text that loses something, and the first 32 digits of the whole text's SHA-256.
 
     Null texts count as empty; texts shorter than ``length`` lose nothing. A null id is later than all others, and equal
     ids (repeated rows) do not remove from each other. Ids must be below 2**63 - 1. In the remaining text a character
@@ -496,10 +497,11 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             stays = np.zeros(char[-1] + 1 if len(char) else 0, bool)
             stays[char[~gone]] = True
             keep = stays[char] if len(char) else gone
-            out["kept_text"] = [block.data[a:b][keep[a:b]].tobytes().decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+            out["kept_text"] = [block.data[a:b][keep[a:b]].tobytes().decode("utf-8", "replace") if total[b] > total[a] else None for a, b in zip(at, at[1:])]
+            out["digest"] = [block.digests[k].tobytes().hex() for k in range(len(at) - 1)]
         return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64() if k[:2] == "n_" else pa.string()) for k, v in out.items()})
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, digest string" * texts
     result = written(blocks.each(finish, schema, told.unionByName(owners)))
     blocks.drop()
     return result
@@ -511,8 +513,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     Rows are told apart by id and text, so repeated rows stay repeated.
     """
     marked = mark_repeats(docs, length, id_col, text_col, texts=True).where("n_removed > 0")
-    rest = marked.select(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_n"])
-    joined = docs.join(rest, docs[id_col].eqNullSafe(F.col("_id")) & (F.octet_length(F.col(text_col)) == F.col("_n")), "left")
+    rest = marked.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_digest"])
+    digest = F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32)
+    joined = docs.join(rest, docs[id_col].eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left")
     joined = joined.withColumn(text_col, F.coalesce("_kept", F.col(text_col))).where(F.col("_kept").isNull() | (F.trim("_kept") != ""))
     if chars_col in docs.columns:
         joined = joined.withColumn(chars_col, F.when(F.col("_kept").isNull(), F.col(chars_col)).otherwise(F.char_length("_kept").cast(docs.schema[chars_col].dataType)))
