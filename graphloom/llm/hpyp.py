@@ -34,7 +34,7 @@ from .common import ASCII_LOWER, NOT_BLANK, chunks_of, mix, span_hashes, utf8_bu
 END, START = np.uint64(0xE17D5EA1C0FFEE01), np.uint64(0x57A127ED0BEEF003)
 HELD_OUT_MODULUS = 7
 #: So many customers of a dish are seated one by one.
-GROUP = 64
+GROUP = 32
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ class Model:
     parent_discount: float = 0.5
     parent_strength: float = 10.0
     burn_in: int = 2
-    samples: int = 4
+    samples: int = 3
 
 
 # ---- seating ----------------------------------------------------------------------------------------
@@ -239,10 +239,9 @@ class Block:
 
     def score(self, totals: tuple, parent: tuple, model: Model) -> pa.Table:
         self.know(totals, model)
-        dish, tables_of = self.answered(3, self.buckets, self.words, 2)
+        dish, tables_of, own = self.answered(3, self.buckets, self.words, 3)
         customers0, tables0, start_tables = parent
         tables_of = np.append(tables_of, start_tables)
-        own = parent_tables(self.words, dish, model, self.vocabulary)
         base = 1 / (self.vocabulary + 1)
         d0, s0 = model.parent_discount, model.parent_strength
         word_weight = (np.maximum(dish - d0 * own, 0) + (s0 + d0 * tables0) * base) / (s0 + customers0)
@@ -290,7 +289,7 @@ def _tables(model: Model, vocabulary: int):
             n = len(p[0]) // 6
             i = inverse[at : at + n]
             at += n
-            out.append(pack(dish[i], context[i], about))
+            out.append(pack(dish[i], context[i], own[i], about))
         return out
 
     return run
