@@ -41,7 +41,8 @@ def even_keys(spark: SparkSession, partitions: int, each: int) -> list[int]:
 class Blocks:
     """The documents (doc_id, text) by block, and the keys of the buckets."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Callable[[pa.Table], bytes] | None = None):
+        """With ``keep``, a block is one row with what that makes of its documents (column state), in place of the texts."""
         spark = self.spark = docs.sparkSession
         parts = self.partitions = shuffle_partitions(spark)
         keys = even_keys(spark, parts, BLOCKS)
@@ -50,10 +51,12 @@ class Blocks:
         self.fine = np.array(keys, np.int64)
         rows = id_text(docs, id_col, text_col)
         number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(keys)))
-        rows = rows.withColumn("block", F.element_at(F.lit(keys), (number + 1).cast("int")).cast("long"))
+        rows = rows.withColumn("block", F.element_at(F.lit(keys), (number + 1).cast("int")).cast("long")).repartition(parts, "block")
+        if keep:
+            rows = rows.groupBy("block").applyInArrow(lambda key, t: pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([keep(t)], pa.binary())}), "block long, state binary")
         self.name = f"blocks_{uuid.uuid4().hex}"
         self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{self.name}"
-        rows.repartition(parts, "block").write.option("compression", "zstd").option("path", self.path).bucketBy(parts, "block").sortBy("block").saveAsTable(self.name)
+        rows.write.option("compression", "zstd").option("path", self.path).bucketBy(parts, "block").sortBy("block").saveAsTable(self.name)
         self.docs = spark.table(self.name)
         spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the deal, which no plan needs any more
 

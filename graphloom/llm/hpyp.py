@@ -3,23 +3,24 @@
 Every word is the context of a restaurant whose customers are the tokens seen
 after it. The restaurants share one parent, the restaurant of single words, which
 gets a customer for each of their tables, and whose own base is uniform over the
-vocabulary. Seating is sampled by Gibbs: given how many tables its context has
-and what the parent predicts, the tables of one dish depend on no other dish, so
-a sweep resamples all dishes side by side; their numbers of tables are then
-gathered for the contexts and for the parent. A dish's customers are seated anew
-one after the other, and the new seating is accepted by Metropolis' rule, which
-leaves the conditional law as it is; beyond the first GROUP customers of a
-frequent dish, those that raise the seated ones by an eighth sit down together.
+vocabulary. All customers are seated once, one after the other; then the parent,
+and given the parent the contexts, are seated anew by Gibbs sweeps. Given how many
+tables its context has and what the parent predicts, the tables of one dish depend
+on no other dish, so a sweep resamples all dishes side by side. A dish's customers
+are seated anew one after the other, and the new seating is accepted by Metropolis'
+rule, which leaves the conditional law as it is; beyond the first GROUP customers of
+a frequent dish, those that raise the seated ones by an eighth sit down together.
 Predictive probabilities are averaged over the later samples.
 
-The counts come from the whole corpus: blocks of documents ask for the counts of
-their words, then of their word pairs, then for the tables of both (see blocks).
-A dish's draws depend on its key alone, so every block that needs it seats it
-alike.
+The counts come from the whole corpus: blocks of documents, kept as distinct words
+and pairs, ask for the counts of their words, then of their word pairs, then for
+the tables of both (see blocks). Whoever holds a bucket of pairs seats each pair
+once for all blocks.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ from .common import ASCII_LOWER, NOT_BLANK, chunks_of, mix, span_hashes, utf8_bu
 
 #: Tokens that are no words: the end of a text, and the context at its beginning.
 END, START = np.uint64(0xE17D5EA1C0FFEE01), np.uint64(0x57A127ED0BEEF003)
-HELD_OUT_MODULUS = 7
+HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
 #: So many customers of a dish are seated one by one.
 GROUP = 32
 
@@ -138,97 +139,101 @@ def sweeps(keys: np.ndarray, customers: np.ndarray, weight: np.ndarray, discount
 # ---- blocks -----------------------------------------------------------------------------------------
 
 
+def pair_keys(words: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A key for each pair; context ``len(words)`` is the beginning of a text."""
+    with np.errstate(over="ignore"):
+        return mix(np.append(words, START)[context] * np.uint64(0x9DDFEA08EB382D69) ^ words[word])
+
+
+def read(docs: pa.Table, modulus: int) -> bytes:
+    """A block's documents as ids, numbers of tokens, distinct words, distinct pairs by key, and each token's pair."""
+    data, offsets = utf8_buffer(docs.column("text").combine_chunks())
+    n = len(offsets) - 1
+    hashes, counts = [], []
+    for i, j in chunks_of(offsets, 2 << 20):
+        part, own = ASCII_LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
+        starts, ends, rows = word_spans(part, own, NOT_BLANK)
+        hashes.append(span_hashes(part, starts, ends) if len(starts) else np.zeros(0, np.uint64))
+        counts.append(np.bincount(rows, minlength=j - i))
+    per = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64) + 1
+    last = np.cumsum(per) - 1
+    tokens = np.full(int(per.sum()), END)
+    is_word = np.ones(len(tokens), bool)
+    is_word[last] = False
+    tokens[is_word] = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+    words, token = np.unique(tokens, return_inverse=True)
+    v = len(words)
+    context = np.empty(len(token), np.int64)
+    context[1:] = token[:-1]
+    context[np.append(0, last[:-1] + 1)] = v
+    codes, pair = np.unique(context * (v + 1) + token, return_inverse=True)
+    context, word = codes // (v + 1), codes % (v + 1)
+    order = np.argsort(pair_keys(words, context, word), kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    ids = docs.column("doc_id").combine_chunks()
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    held = np.array([zlib.crc32(b"" if no else str(i).encode()) % modulus == HELD_OUT_REMAINDER for i, no in zip(ids.tolist(), null.tolist())], bool)
+    return pack(ids, null.astype(np.uint8), held.astype(np.uint8), per.astype(np.int32), words, context[order].astype(np.int32), word[order].astype(np.int32), place[pair])
+
+
 class Block:
     """One block's tokens, as distinct words and distinct pairs, and the answers it has."""
 
-    def __init__(self, docs: pa.Table, got: dict, buckets: tuple[np.ndarray, np.ndarray]):
-        self.got, self.docs = got, docs
+    def __init__(self, kept: pa.Table, got: dict, buckets: tuple[np.ndarray, np.ndarray]):
+        self.got = got
         self.buckets, self.fine = buckets
-        data, offsets = utf8_buffer(docs.column("text").combine_chunks())
-        self.n = len(offsets) - 1
-        hashes, counts = [], []
-        for i, j in chunks_of(offsets, 2 << 20):
-            part, own = ASCII_LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-            starts, ends, rows = word_spans(part, own, NOT_BLANK)
-            hashes.append(span_hashes(part, starts, ends) if len(starts) else np.zeros(0, np.uint64))
-            counts.append(np.bincount(rows, minlength=j - i))
-        words = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        per = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)
-        self.doc = np.repeat(np.arange(self.n), per + 1)
-        self.last = np.cumsum(per + 1) - 1
-        tokens = np.empty(len(words) + self.n, np.uint64)
-        is_word = np.ones(len(tokens), bool)
-        is_word[self.last] = False
-        tokens[is_word], tokens[self.last] = words, END
-        self.trains = ~docs.column("held_out").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-        self.words, self.token = np.unique(tokens, return_inverse=True)
-        self.token_trains = self.trains[self.doc]
-        self.word_count = np.bincount(self.token[self.token_trains], minlength=len(self.words))
-
-    def pairs(self) -> None:
-        """Distinct (context, word) pairs, sorted by key."""
-        v = len(self.words)
-        context = np.empty(len(self.token), np.int64)
-        context[1:] = self.token[:-1]
-        begins = np.concatenate([[0], self.last[:-1] + 1]) if self.n else np.zeros(0, np.int64)
-        context[begins] = v
-        codes, inverse = np.unique(context * (v + 1) + self.token, return_inverse=True)
-        self.context, self.word = codes // (v + 1), codes % (v + 1)
-        count = np.bincount(inverse[self.token_trains], minlength=len(codes))
-        with np.errstate(over="ignore"):
-            key = mix(np.append(self.words, START)[self.context] * np.uint64(0x9DDFEA08EB382D69) ^ self.words[self.word])
-        order = np.argsort(key, kind="stable")
-        self.key, self.context, self.word, self.pair_count = key[order], self.context[order], self.word[order], count[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.pair = place[inverse]
+        self.ids, self.null, held, per, self.words, self.context, self.word, self.pair = unpack(kept.column("state")[0].as_py())
+        self.trains, self.n = held == 0, len(per)
+        self.doc = np.repeat(np.arange(self.n), per)
+        self.token, self.token_trains = self.word[self.pair], self.trains[self.doc]
+        self.key = pair_keys(self.words, self.context, self.word)
 
     @staticmethod
     def messages(buckets: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
         cut = cut_by_bucket(keys, len(buckets))
         return [(int(buckets[b]), pack(pack_keys(keys[x:y]), *[c for col in columns for c in (pack_counts(col[x:y]) if col.dtype.kind == "i" else [col[x:y]])])) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
 
-    def answered(self, kind: int, buckets: np.ndarray, keys: np.ndarray, columns: int) -> list[np.ndarray]:
-        cut, out = cut_by_bucket(keys, len(buckets)), []
-        for b, (x, y) in enumerate(zip(cut, cut[1:])):
-            if y > x:
-                out.append(unpack(self.got[kind][int(buckets[b])]))
+    def answered(self, kind: int, buckets: np.ndarray, keys: np.ndarray, columns: int, counts: bool = True) -> list[np.ndarray]:
+        """So many columns, of counts or else of plain numbers, in the order of ``keys``."""
+        cut = cut_by_bucket(keys, len(buckets))
+        out = [unpack(self.got[kind][int(buckets[b])]) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
         if not out:
-            return [np.zeros(0)] * columns
-        if columns == 1:
-            return [np.concatenate([unpack_counts(*x[:3]) for x in out])]
-        return [np.concatenate([x[k] for x in out]) for k in range(columns)]
+            return [np.zeros(0, np.int64)] * columns
+        return [np.concatenate([unpack_counts(*x[3 * k : 3 * k + 3]) if counts else x[k] for x in out]) for k in range(columns)]
 
     # the rounds
 
     def ask_words(self) -> list[tuple]:
-        return self.messages(self.buckets, self.words, self.word_count)
+        return self.messages(self.buckets, self.words, np.bincount(self.token[self.token_trains], minlength=len(self.words)))
 
-    def ask_pairs(self) -> list[tuple]:
-        self.pairs()
-        return self.messages(self.fine, self.key, self.pair_count)
+    def know_words(self, totals: tuple) -> None:
+        """Counts of words and of contexts: as often as words, but that the end is none, and every text has a beginning."""
+        self.tokens, self.vocabulary = totals
+        self.known = self.answered(1, self.buckets, self.words, 1)[0]
+        end = np.flatnonzero(self.words == END)
+        self.customers = np.append(self.known, self.known[end])
+        self.customers[end] = 0
 
-    def seating(self, totals: tuple, model: Model, word_weight: np.ndarray, tables_of: np.ndarray, first: int) -> np.ndarray:
-        """Mean tables of each pair, given the parent's prediction and the tables of each context (START last)."""
-        weight = (model.strength + model.discount * tables_of[self.context]) * word_weight[self.word]
-        return sweeps(self.key, self.count, weight, model.discount, first, model.burn_in, model.samples)
+    def share(self) -> np.ndarray:
+        return np.bincount(self.pair[self.token_trains], minlength=len(self.key))
 
-    def know(self, totals: tuple, model: Model) -> None:
-        """Global counts of words, contexts (as often as words, but that the end has none) and pairs."""
-        self.pairs()
-        self.known = self.answered(1, self.buckets, self.words, 1)[0]
-        self.count = self.answered(2, self.fine, self.key, 1)[0]
-        self.tokens, self.vocabulary, self.texts = totals
-        self.customers = np.append(self.known, self.texts)
-        self.customers[np.flatnonzero(self.words == END)] = 0
+    def ask_pairs(self, totals: tuple, model: Model) -> list[tuple]:
+        """This block's share of each pair, and the log of the weight of a new table while none are known: by the share
+        of a word among all tokens, and a power law for a context's tables."""
+        self.know_words(totals)
+        likely = (self.known + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1))
+        weight = np.log((model.strength + model.discount * self.customers**model.discount)[self.context] * likely[self.word])
+        return self.messages(self.fine, self.key, self.share(), weight.astype(np.float16))
+
+    def know_pairs(self) -> None:
+        self.count, self.first = self.answered(2, self.fine, self.key, 2)
 
-    def ask_tables(self, totals: tuple, model: Model) -> list[tuple]:
+    def ask_tables(self) -> list[tuple]:
         """Tables of this block's share of each pair, summed by dish and by context."""
-        self.know(totals, model)
-        # before any tables are known: the share of a word among all tokens, and a power law for a context's tables
-        weight = (self.known + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1))
-        tables = self.seating(totals, model, weight, self.customers**model.discount, 1)
-        share = np.where(self.count > 0, tables * self.pair_count / np.maximum(self.count, 1), 0)
+        self.know_pairs()
+        share = self.first * self.share() / np.maximum(self.count, 1)
         as_dish = np.bincount(self.word, share, len(self.words))
         as_context = np.bincount(self.context, share, len(self.words) + 1)
         out = self.messages(self.buckets, self.words, as_dish.astype(np.float32), as_context[:-1].astype(np.float32))
@@ -237,22 +242,33 @@ class Block:
         out[0] = (bucket, pack(*unpack(first), as_context[-1:]))
         return out
 
-    def score(self, totals: tuple, parent: tuple, model: Model) -> pa.Table:
-        self.know(totals, model)
-        dish, tables_of, own = self.answered(3, self.buckets, self.words, 3)
+    def know_tables(self, totals: tuple, parent: tuple, model: Model) -> None:
+        """The parent's predictions, and the weight of a new table for each pair."""
+        self.know_words(totals)
+        self.know_pairs()
+        dish, tables_of, own = self.answered(3, self.buckets, self.words, 3, counts=False)
         customers0, tables0, start_tables = parent
-        tables_of = np.append(tables_of, start_tables)
         base = 1 / (self.vocabulary + 1)
         d0, s0 = model.parent_discount, model.parent_strength
-        word_weight = (np.maximum(dish - d0 * own, 0) + (s0 + d0 * tables0) * base) / (s0 + customers0)
-        tables = self.seating(totals, model, word_weight, tables_of, 101)
-        c = self.customers[self.context]
-        above = model.strength + model.discount * tables_of[self.context]
-        p = (self.count - model.discount * tables + above * word_weight[self.word]) / (model.strength + c)
+        self.likely = (np.maximum(dish - d0 * own, 0) + (s0 + d0 * tables0) * base) / (s0 + customers0)
+        self.weight = (model.strength + model.discount * np.append(tables_of, start_tables))[self.context] * self.likely[self.word]
+        self.several = np.flatnonzero(self.count > 1)
+
+    def ask_sweeps(self, totals: tuple, parent: tuple, model: Model) -> list[tuple]:
+        """Pairs with several customers, for which there is something to resample."""
+        self.know_tables(totals, parent, model)
+        some = self.several
+        return self.messages(self.fine, self.key[some], self.count[some], self.weight[some].astype(np.float32))
+
+    def score(self, totals: tuple, parent: tuple, model: Model) -> pa.Table:
+        self.know_tables(totals, parent, model)
+        tables = np.minimum(self.count, 1).astype(float)
+        tables[self.several] = self.answered(4, self.fine, self.key[self.several], 1)[0] / model.samples
+        p = (self.count - model.discount * tables + self.weight) / (model.strength + self.customers[self.context])
         log_p = np.log10(np.maximum(p, 1e-300))[self.pair]
         smooth = np.log10((self.known + 1) / (self.tokens + self.vocabulary + 1))[self.token]
         out = {
-            "doc_id": self.docs.column("doc_id").combine_chunks(), "held_out": pa.array(~self.trains), "n_tokens": np.bincount(self.doc, minlength=self.n),
+            "doc_id": pa.array(self.ids, pa.int64(), mask=self.null.astype(bool)), "held_out": pa.array(~self.trains), "n_tokens": np.bincount(self.doc, minlength=self.n),
             "n_known": np.bincount(self.doc, self.known[self.token] > 0, self.n).astype(np.int64), "train_tokens": np.full(self.n, self.tokens),
             "base_score": np.bincount(self.doc, smooth, self.n), "score": np.bincount(self.doc, log_p, self.n),
         }
@@ -276,6 +292,40 @@ def _sums(payloads: list[bytes]) -> list[bytes]:
     return [pack(*pack_counts(x), about) for x in np.split(total[inverse], np.cumsum([len(p[0]) // 6 for p in parts])[:-1])]
 
 
+def _together(payloads: list[bytes]) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """What blocks sent of pairs: their parts, the distinct keys, where each is first, its index everywhere, the cuts between blocks."""
+    parts = [unpack(p) for p in payloads]
+    uniq, at, inverse = np.unique(np.concatenate([unpack_keys(p[0]) for p in parts]), return_index=True, return_inverse=True)
+    return parts, uniq, at, inverse, np.cumsum([len(p[0]) // 6 for p in parts])[:-1].tolist()
+
+
+def _first_seating(model: Model):
+    """Counts of pairs over all blocks, and their tables after all customers were seated once."""
+
+    def run(payloads: list[bytes]) -> list[bytes]:
+        parts, uniq, at, inverse, cuts = _together(payloads)
+        total = np.bincount(inverse, np.concatenate([unpack_counts(*p[1:4]) for p in parts]).astype(float), len(uniq)).astype(np.int64)
+        weight = np.exp(np.concatenate([p[4] for p in parts])[at].astype(float))
+        tables = np.minimum(seat(uniq, total, weight, model.discount, 1)[0], total)
+        return [pack(*pack_counts(a), *pack_counts(b)) for a, b in zip(np.split(total[inverse], cuts), np.split(tables[inverse], cuts))]
+
+    return run
+
+
+def _sweeps(model: Model):
+    """Tables of pairs, summed over the samples."""
+
+    def run(payloads: list[bytes]) -> list[bytes]:
+        parts, uniq, at, inverse, cuts = _together(payloads)
+        count = np.concatenate([unpack_counts(*p[1:4]) for p in parts])[at]
+        weight = np.concatenate([p[4] for p in parts])[at].astype(float)
+        mean = sweeps(uniq, count, weight, model.discount, 101, model.burn_in, model.samples)
+        total = np.rint(mean * model.samples).astype(np.int64)
+        return [pack(*pack_counts(x)) for x in np.split(total[inverse], cuts)]
+
+    return run
+
+
 def _tables(model: Model, vocabulary: int):
     def run(payloads: list[bytes]) -> list[bytes]:
         parts = [unpack(p) for p in payloads]
@@ -315,18 +365,16 @@ def score_documents(docs: DataFrame, model: Model = Model(), id_col: str = "doc_
     are learnt and scored each; a null id counts as the id ''. An empty table gives no rows; if nothing is left to learn
     from, all probabilities are uniform. Other columns are not read. ``base_score`` smooths single words by adding one.
     """
-    blocks = Blocks(docs, id_col, text_col)
-    keys, remainder = (blocks.buckets, blocks.fine), 2
-    blocks.docs = blocks.docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder)
+    blocks = Blocks(docs, id_col, text_col, keep=lambda t: read(t, modulus))
+    keys = (blocks.buckets, blocks.fine)
     words = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_words()), 1, _sums)
-    tokens, vocabulary, _ = _about(words)
-    texts = blocks.docs.where("NOT held_out").count()
-    totals = (int(tokens), int(vocabulary), texts)
-    pairs = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_pairs()), 2, _sums)
-    counts = words.unionByName(pairs)
-    tables = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_tables(totals, model), counts), 3, _tables(model, totals[1]))
+    totals = tuple(int(x) for x in _about(words)[:2])
+    pairs = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_pairs(totals, model), words), 2, _first_seating(model))
+    tables = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_tables(), pairs), 3, _tables(model, totals[1]))
     parent = tuple(_about(tables))
+    told = words.unionByName(pairs).unionByName(tables)
+    seated = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_sweeps(totals, parent, model), told), 4, _sweeps(model))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    result = written(blocks.each(lambda _, d, g: Block(d, g, keys).score(totals, parent, model), schema, counts.unionByName(tables)))
+    result = written(blocks.each(lambda _, d, g: Block(d, g, keys).score(totals, parent, model), schema, told.unionByName(seated)))
     blocks.drop()
     return result
