@@ -10,6 +10,7 @@ comes once from each block.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -58,7 +59,7 @@ class Blocks:
         self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{self.name}"
         rows.write.option("compression", "zstd").option("path", self.path).bucketBy(parts, "block").sortBy("block").saveAsTable(self.name)
         self.docs = spark.table(self.name)
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the deal, which no plan needs any more
+        self.tidy()
 
     def ask(self, fn: Callable[[pa.Table, dict], list[tuple]], answers: DataFrame | None = None) -> DataFrame:
         """What each block asks: ``fn`` gets its documents, and {kind: {bucket: payload}}; gives (bucket key, payload)."""
@@ -91,7 +92,14 @@ class Blocks:
             out = fn([payloads[i] for i in order])
             return pa.table({"block": t.column("block").to_numpy()[order], "kind": pa.array([kind] * len(out), pa.int32()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "payload": pa.array(out, pa.binary())})
 
-        return written(asked.groupBy("bucket").applyInArrow(run, ANSWER))
+        out = written(asked.groupBy("bucket").applyInArrow(run, ANSWER))
+        self.tidy()
+        return out
+
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of what has been written, which no plan needs any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self) -> None:
         """Removes the table and its files; what was derived from it must have been written."""
