@@ -10,7 +10,6 @@ comes once from each block.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, id_text, shuffle_partitions, written
+from .common import ensure_checkpoint_dir, id_text, shuffle_partitions, shuffles_deleted, written
 
 #: Blocks for each shuffle partition.
 BLOCKS = 4
@@ -57,9 +56,9 @@ class Blocks:
             rows = rows.groupBy("block").applyInArrow(lambda key, t: pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([keep(t)], pa.binary())}), "block long, state binary")
         self.name = f"blocks_{uuid.uuid4().hex}"
         self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{self.name}"
-        rows.write.option("compression", "zstd").option("path", self.path).bucketBy(parts, "block").sortBy("block").saveAsTable(self.name)
+        with shuffles_deleted(spark):
+            rows.write.option("compression", "zstd").option("path", self.path).bucketBy(parts, "block").sortBy("block").saveAsTable(self.name)
         self.docs = spark.table(self.name)
-        self.tidy()
 
     def ask(self, fn: Callable[[pa.Table, dict], list[tuple]], answers: DataFrame | None = None) -> DataFrame:
         """What each block asks: ``fn`` gets its documents, and {kind: {bucket: payload}}; gives (bucket key, payload)."""
@@ -92,14 +91,7 @@ class Blocks:
             out = fn([payloads[i] for i in order])
             return pa.table({"block": t.column("block").to_numpy()[order], "kind": pa.array([kind] * len(out), pa.int32()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "payload": pa.array(out, pa.binary())})
 
-        out = written(asked.groupBy("bucket").applyInArrow(run, ANSWER))
-        self.tidy()
-        return out
-
-    def tidy(self) -> None:
-        """Lets Spark delete the shuffle files of what has been written, which no plan needs any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        return written(asked.groupBy("bucket").applyInArrow(run, ANSWER))
 
     def drop(self) -> None:
         """Removes the table and its files; what was derived from it must have been written."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return place or LOCAL_CHECKPOINTS
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Inside, Spark deletes a job's shuffle files when it ends: what it wrote stands for them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written once as a table in the shared folder and read again (cuts the lineage)."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -12,8 +12,8 @@ rule, which leaves the conditional law as it is; beyond the first GROUP customer
 a frequent dish, those that raise the seated ones by an eighth sit down together.
 Predictive probabilities are averaged over the later samples.
 
-The counts come from the whole corpus: blocks of documents, kept as distinct words
-and pairs, ask for the counts of their words, then of their word pairs, then for
+The counts come from the whole corpus: blocks of documents, kept as words'
+numbers, ask for the counts of their words, then of their word pairs, then for
 the tables of both (see blocks). Whoever holds a bucket of pairs seats each pair
 once for all blocks.
 """
@@ -146,7 +146,7 @@ def pair_keys(words: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.nd
 
 
 def read(docs: pa.Table, modulus: int) -> bytes:
-    """A block's documents as ids, numbers of tokens, distinct words, distinct pairs by key, and each token's pair."""
+    """A block's documents as ids, numbers of tokens, distinct words, and each token's word."""
     data, offsets = utf8_buffer(docs.column("text").combine_chunks())
     n = len(offsets) - 1
     hashes, counts = [], []
@@ -162,20 +162,11 @@ def read(docs: pa.Table, modulus: int) -> bytes:
     is_word[last] = False
     tokens[is_word] = np.concatenate([*hashes, np.zeros(0, np.uint64)])
     words, token = np.unique(tokens, return_inverse=True)
-    v = len(words)
-    context = np.empty(len(token), np.int64)
-    context[1:] = token[:-1]
-    context[np.append(0, last[:-1] + 1)] = v
-    codes, pair = np.unique(context * (v + 1) + token, return_inverse=True)
-    context, word = codes // (v + 1), codes % (v + 1)
-    order = np.argsort(pair_keys(words, context, word), kind="stable")
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order))
     ids = docs.column("doc_id").combine_chunks()
     null = ids.is_null().to_numpy(zero_copy_only=False)
     ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
     held = np.array([zlib.crc32(b"" if no else str(i).encode()) % modulus == HELD_OUT_REMAINDER for i, no in zip(ids.tolist(), null.tolist())], bool)
-    return pack(ids, null.astype(np.uint8), held.astype(np.uint8), per.astype(np.int32), words, context[order].astype(np.int32), word[order].astype(np.int32), place[pair])
+    return pack(ids, null.astype(np.uint8), held.astype(np.uint8), per.astype(np.int32), words, token.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32))
 
 
 class Block:
@@ -184,11 +175,25 @@ class Block:
     def __init__(self, kept: pa.Table, got: dict, buckets: tuple[np.ndarray, np.ndarray]):
         self.got = got
         self.buckets, self.fine = buckets
-        self.ids, self.null, held, per, self.words, self.context, self.word, self.pair = unpack(kept.column("state")[0].as_py())
-        self.trains, self.n = held == 0, len(per)
-        self.doc = np.repeat(np.arange(self.n), per)
-        self.token, self.token_trains = self.word[self.pair], self.trains[self.doc]
-        self.key = pair_keys(self.words, self.context, self.word)
+        self.ids, self.null, held, self.per, self.words, token = unpack(kept.column("state")[0].as_py())
+        self.trains, self.n, self.token = held == 0, len(self.per), token.astype(np.int64)
+        self.doc = np.repeat(np.arange(self.n), self.per)
+        self.token_trains = self.trains[self.doc]
+
+    def find_pairs(self) -> None:
+        """Distinct (context, word) pairs, by key, and each token's."""
+        v = len(self.words)
+        context = np.empty(len(self.token), np.int64)
+        context[1:] = self.token[:-1]
+        context[np.append(0, np.cumsum(self.per)[:-1])] = v
+        codes, pair = np.unique(context * (v + 1) + self.token, return_inverse=True)
+        context, word = codes // (v + 1), codes % (v + 1)
+        key = pair_keys(self.words, context, word)
+        order = np.argsort(key, kind="stable")
+        self.key, self.context, self.word = key[order], context[order], word[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair = place[pair]
 
     @staticmethod
     def messages(buckets: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
@@ -222,12 +227,14 @@ class Block:
     def ask_pairs(self, totals: tuple, model: Model) -> list[tuple]:
         """This block's share of each pair, and the log of the weight of a new table while none are known: by the share
         of a word among all tokens, and a power law for a context's tables."""
+        self.find_pairs()
         self.know_words(totals)
         likely = (self.known + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1))
         weight = np.log((model.strength + model.discount * self.customers**model.discount)[self.context] * likely[self.word])
         return self.messages(self.fine, self.key, self.share(), weight.astype(np.float16))
 
     def know_pairs(self) -> None:
+        self.find_pairs()
         self.count, self.first = self.answered(2, self.fine, self.key, 2)
 
     def ask_tables(self) -> list[tuple]:
