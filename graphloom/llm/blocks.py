@@ -41,11 +41,11 @@ def even_keys(spark: SparkSession, partitions: int, each: int) -> list[int]:
 class Blocks:
     """The documents (doc_id, text) by block, and the keys of the buckets."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Callable[[pa.Table], bytes] | None = None):
-        """With ``keep``, a block is one row with what that makes of its documents (column state), in place of the texts."""
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Callable[[pa.Table], bytes] | None = None, each: int = BLOCKS):
+        """``each`` blocks for a shuffle partition. With ``keep``, a block is one row with what that makes of its documents (column state), in place of the texts."""
         spark = self.spark = docs.sparkSession
         parts = self.partitions = shuffle_partitions(spark)
-        keys = even_keys(spark, parts, BLOCKS)
+        keys = even_keys(spark, parts, each)
         self.buckets = np.array(keys[:parts], np.int64)
         #: For questions that come with much text.
         self.fine = np.array(keys, np.int64)

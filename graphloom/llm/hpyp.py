@@ -372,7 +372,7 @@ def score_documents(docs: DataFrame, model: Model = Model(), id_col: str = "doc_
     are learnt and scored each; a null id counts as the id ''. An empty table gives no rows; if nothing is left to learn
     from, all probabilities are uniform. Other columns are not read. ``base_score`` smooths single words by adding one.
     """
-    blocks = Blocks(docs, id_col, text_col, keep=lambda t: read(t, modulus))
+    blocks = Blocks(docs, id_col, text_col, keep=lambda t: read(t, modulus), each=1)
     keys = (blocks.buckets, blocks.fine)
     words = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_words()), 1, _sums)
     totals = tuple(int(x) for x in _about(words)[:2])
