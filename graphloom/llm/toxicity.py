@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ASCII_LOWER, WORD_BYTE, chunks_of, id_text, mix, span_hashes, utf8_buffer, word_spans
-from .training import SAMPLE_ROWS, labelled_sample
+from .training import SAMPLE_ROWS, sample_rows, shuffled
 
 BITS = 20
 #: The bound on the labelled rows that are learnt from.
@@ -100,8 +100,16 @@ def fit(texts: list[bytes], y: np.ndarray, alpha: float = 5.0, beta: float = 1.0
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> SparseModel:
-    """Fits on a bounded sample of the labelled documents that are not held out."""
-    return fit(*labelled_sample(docs, labels, "toxic", rows))
+    """Fits on a bounded sample of the labelled documents that are not held out; in one task, so that the driver gets the weights only."""
+
+    def run(batches):
+        model = fit(*shuffled([r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)))]))
+        yield pa.RecordBatch.from_arrays([pa.array([model.places]), pa.array([model.weights]), pa.array([model.bias])], names=["places", "weights", "bias"])
+
+    found = sample_rows(docs, labels, "toxic", rows).repartition(1).mapInArrow(run, "places array<long>, weights array<float>, bias double").collect()
+    if not found:
+        return fit([], np.zeros(0))
+    return SparseModel(np.array(found[0]["places"], np.int64), np.array(found[0]["weights"], np.float32), found[0]["bias"])
 
 
 def score_documents(docs: DataFrame, model: SparseModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -13,8 +13,8 @@ SAMPLE_ROWS = 5000
 HELD_OUT_MODULUS = 4
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], np.ndarray]:
-    """Whole texts (UTF-8) and labels of at most ``rows`` labelled documents that are not held out, in a fixed random order.
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, text, y of at most ``rows`` labelled documents that are not held out.
 
     Rows with a null id or label teach nothing; an id that is labelled repeatedly counts once, by its largest label.
     """
@@ -24,7 +24,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         .orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     )
     # at most `rows` ids: the broadcast's size is bounded by the parameter
-    found = id_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: r["doc_id"])
+    return id_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"])
+
+
+def shuffled(found: list[tuple]) -> tuple[list[bytes], np.ndarray]:
+    """Texts (UTF-8) and labels of (doc_id, text, y), in an order that does not depend on the one given."""
+    found = sorted(found, key=lambda r: r[0])
     order = np.random.default_rng(7).permutation(len(found))
-    return [found[i]["text"].encode() for i in order], np.array([found[i]["y"] for i in order], np.float64)
+    return [found[i][1].encode() for i in order], np.array([found[i][2] for i in order], np.float64)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], np.ndarray]:
+    """Whole texts and labels of the sample, in a fixed random order."""
+    return shuffled(sample_rows(docs, labels, label, rows).collect())
