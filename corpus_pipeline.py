@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from graphloom.llm import packing, quality, simhash, suffix_dedup, toxicity
+from graphloom.llm import jaccard, packing, quality, suffix_dedup, toxicity
 from graphloom.llm.common import ensure_checkpoint_dir, read_table
 from graphloom.llm.queries import tokenizer_path
 
@@ -25,8 +25,8 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return simhash.one_of_each_group(docs)
+    """One document of each group of near copies (Jaccard of five-word shingles, 0.8 or more) stays, the one with the smallest id."""
+    return jaccard.one_of_each_group(docs)
 
 
 def repeats_stage(spark, docs, sf_dir):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from graphloom.llm import bpe, hpyp, licenses, media_ts, packing, quality, simhash, suffix_dedup, topk, toxicity
+from graphloom.llm import bpe, hpyp, jaccard, licenses, media_ts, packing, quality, simhash, suffix_dedup, topk, toxicity
 from graphloom.llm.queries import tokenizer_path
 from graphloom.llm.training import labelled_sample
 
@@ -300,6 +300,52 @@ def test_links_of_crowded_buckets(spark, bucket):
     assert all(roots.get(i, i) == find(i) for i, _ in nodes)
 
 
+def first_of_groups_by_jaccard(rows):
+    sets = []
+    for _, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            first[find(i)] = min(d, first.get(find(i), d))
+    return set(first.values())
+
+
+def test_near_copies_by_jaccard(spark, docs, texts, odd_docs):
+    """The pipeline's stage against brute force: copies with a few words changed, most of them over 3 bits apart by simhash."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 200))]
+        for copy in range(25 if k == 0 else 5):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(w + ["the", "same", "footer", "in", "every", "text"])))
+    whole = [(i, t, *[None] * 6) for i, t in rows]
+    rng.shuffle(whole)
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(whole, SCHEMA).repartition(3), None)
+    kept = {r["doc_id"] for r in got.collect()}
+    assert kept == first_of_groups_by_jaccard(rows)
+    assert len(kept) < simhash.one_of_each_group(spark.createDataFrame(whole, SCHEMA)).count()
+    assert {r["doc_id"] for r in jaccard.one_of_each_group(docs).collect()} == first_of_groups_by_jaccard(list(enumerate(texts)))
+    odd = jaccard.one_of_each_group(odd_docs)
+    assert odd.columns == odd_docs.columns and sorted(str(r["doc_id"]) for r in odd.collect()) == ["1", "1", "2", "None", "None"]
+    assert jaccard.one_of_each_group(docs.limit(0)).collect() == []
+
+
 def labelled(spark, n=700):
     rng, rows, labels = random.Random(6), [], []
     for i in range(n):
