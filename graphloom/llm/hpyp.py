@@ -9,7 +9,7 @@ tables its context has and what the parent predicts, the tables of one dish depe
 on no other dish, so a sweep resamples all dishes side by side. A dish's customers
 are seated anew one after the other, and the new seating is accepted by Metropolis'
 rule, which leaves the conditional law as it is; beyond the first GROUP customers of
-a frequent dish, those that raise the seated ones by an eighth sit down together.
+a frequent dish, those that raise the seated ones by a sixteenth sit down together.
 Predictive probabilities are averaged over the later samples.
 
 The counts come from the whole corpus: blocks of documents, kept as words'
@@ -35,7 +35,7 @@ from .common import ASCII_LOWER, NOT_BLANK, chunks_of, mix, span_hashes, utf8_bu
 END, START = np.uint64(0xE17D5EA1C0FFEE01), np.uint64(0x57A127ED0BEEF003)
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
 #: So many customers of a dish are seated one by one.
-GROUP = 32
+GROUP = 64
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,8 @@ class Model:
     strength: float = 2.0
     parent_discount: float = 0.5
     parent_strength: float = 10.0
-    burn_in: int = 2
-    samples: int = 3
+    burn_in: int = 4
+    samples: int = 6
 
 
 # ---- seating ----------------------------------------------------------------------------------------
@@ -100,7 +100,7 @@ def seat(keys: np.ndarray, customers: np.ndarray, weight: np.ndarray, discount:
     k, c, w, i, t, g = keys[live], customers[live], weight[live], np.ones(len(live), np.int64), np.ones(len(live), np.int64), np.zeros(len(live))
     draw = 0
     while len(live):
-        m = np.minimum(np.where(i < GROUP, 1, i >> 3), c - i)
+        m = np.minimum(np.where(i < GROUP, 1, i >> 4), c - i)
         rate = w + i - discount * t
         if draw >= GROUP - 1:
             # in a group, the chance at its middle

@@ -457,6 +457,21 @@ def test_binomial_and_groups():
     assert abs(tables.mean() - alone.mean()) < 0.02 * alone.mean()
 
 
+def test_seating_at_production_parameters():
+    """Mean tables against the exact law with the sweeps of the query; so few sweeps leave them too high."""
+    m, keys = hpyp.Model(), np.arange(1, 20_001).astype(np.uint64)
+    for d, w, c, exact, most in ((0.6, 1.7, 12, 3.787, 0.06), (0.8, 0.5, 60, 1.655, 0.5), (0.8, 0.5, 200, 1.636, 0.75)):
+        mean = hpyp.sweeps(keys, np.full(len(keys), c), np.full(len(keys), w), d, 1, m.burn_in, m.samples).mean()
+        assert abs(mean / exact - 1) < most
+
+
+def test_binomial_within_five_sigma():
+    keys = np.arange(1, 20_001).astype(np.uint64)
+    for n, p in ((1, 0.3), (5, 0.2), (5, 0.9), (40, 0.1), (400, 0.3)):
+        got = hpyp.binomial(keys, 9, np.full(len(keys), n), np.full(len(keys), p))
+        assert abs(got.mean() - n * p) < 5 * (n * p * (1 - p) / len(keys)) ** 0.5
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
