@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from contextlib import contextmanager
 
@@ -11,16 +12,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (tests, one machine).
+#: Used only on one machine (a local master) whose session names no checkpoint folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(place or LOCAL_CHECKPOINTS)
-    return place or LOCAL_CHECKPOINTS
+    """The shared folder of spark.checkpoint.dir. On a cluster it must be set; a local master may do without."""
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not place:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        place = LOCAL_CHECKPOINTS
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(place)
+    return place
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of intermediate data, on whatever file system they are."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -150,6 +163,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends, rows
 
 
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each span, equal only for equal bytes: up to 15 bytes are the key themselves, with their
+    number on top; of longer ones it is 120 bits of a cryptographic digest."""
+    wide = np.concatenate([data, np.zeros(16, np.uint8)])
+    words = np.ndarray((len(data) + 9,), "<u8", wide, strides=(1,))
+    size = ends - starts
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    a = words[starts] & mask[np.minimum(size, 8)]
+    b = words[starts + np.minimum(size, 8)] & mask[np.clip(size - 8, 0, 7)] | (np.minimum(size, 15).astype(np.uint64) << np.uint64(56))
+    for i in np.flatnonzero(size > 15).tolist():
+        d = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        a[i], b[i] = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:15], "little") | 255 << 56
+    return a, b
+
+
 def span_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes, from one running sum over all of them."""
     up, down = _powers(len(lowered) + 1)

@@ -3,44 +3,55 @@
 Every word is the context of a restaurant whose customers are the tokens seen
 after it. The restaurants share one parent, the restaurant of single words, which
 gets a customer for each of their tables, and whose own base is uniform over the
-vocabulary. All customers are seated once, one after the other; then the parent,
-and given the parent the contexts, are seated anew by Gibbs sweeps. Given how many
-tables its context has and what the parent predicts, the tables of one dish depend
-on no other dish, so a sweep resamples all dishes side by side. A dish's customers
-are seated anew one after the other, and the new seating is accepted by Metropolis'
-rule, which leaves the conditional law as it is; beyond the first GROUP customers of
-a frequent dish, those that raise the seated ones by a sixteenth sit down together.
-Predictive probabilities are averaged over the later samples.
-
-The counts come from the whole corpus: blocks of documents, kept as words'
-numbers, ask for the counts of their words, then of their word pairs, then for
-the tables of both (see blocks). Whoever holds a bucket of pairs seats each pair
-once for all blocks.
+vocabulary and one unknown word.
+
+The state of the sampler is the number of tables of every pair and, in the parent,
+of every word. A Gibbs sweep goes as follows. Given the tables t of a restaurant,
+x ~ Gamma(strength / discount + t); given x, its dishes depend on each other no
+more, and the tables of a dish with n customers follow the law S(n, t) * a**t with
+a = discount * x * (what the parent predicts). Those are drawn exactly (see tables),
+all pairs side by side, one draw a pair whatever its count. Their sums by word are
+the parent's new customers; the parent's tables are drawn in the same way, and with
+its new predictions the next sweep begins. Within a sweep what the parent predicts
+stays as it was at the beginning, as usual where a Gibbs sampler runs in parallel.
+Sampling starts with one table a pair. Each kept sample is one state - tables of
+pairs, their sums by context, and the parent that goes with them - so its
+predictions add up to one, and probabilities are averaged over the samples.
+
+The counts come from the whole corpus: blocks of documents, kept as words' numbers,
+ask for the numbers of their words and, at the end, for what their pairs and words
+have come to (see blocks). Pairs are dealt by a hash of both words, words by theirs,
+so that no group grows with a frequent word or context; a bucket of pairs and a
+bucket of words exchange one message a sweep, with sums.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .blocks import Blocks, cut_by_bucket, pack, pack_counts, pack_keys, unpack, unpack_counts, unpack_keys
-from .common import ASCII_LOWER, NOT_BLANK, chunks_of, mix, span_hashes, utf8_buffer, word_spans, written
+from .blocks import Blocks, by_kind, cut_by_bucket, grouped, pack, pack_counts, parts_of, unpack, unpack_counts
+from .common import ASCII_LOWER, NOT_BLANK, chunks_of, mix, utf8_buffer, word_keys, word_spans, written
+from .tables import draw
 
-#: Tokens that are no words: the end of a text, and the context at its beginning.
-END, START = np.uint64(0xE17D5EA1C0FFEE01), np.uint64(0x57A127ED0BEEF003)
+#: Keys of what is no word: the end of a text, and the context at its beginning (no word's second number is like these).
+END, START = (0, 254 << 56), (1, 254 << 56)
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
-#: So many customers of a dish are seated one by one.
-GROUP = 64
+#: Kinds of messages: numbers of words, pairs' answers, words' answers, sums of tables, parents' answers, a sample's parent.
+WORDS, PAIRS, PARENTS, SUMS, SWEEP, SAMPLE = range(1, 7)
+ROW = "block long, kind int, bucket long, payload binary"
+STEP = ROW + ", about array<double>"
 
 
 @dataclass(frozen=True)
 class Model:
-    """Discounts and strengths of the context restaurants and of their parent; sweeps of each phase."""
+    """Discounts and strengths of the context restaurants and of their parent; sweeps of burn-in, samples after them."""
 
     discount: float = 0.8
     strength: float = 2.0
@@ -48,340 +59,371 @@ class Model:
     parent_strength: float = 10.0
     burn_in: int = 4
     samples: int = 6
+    seed: int = 11
 
+    def rng(self, *numbers: int) -> np.random.Generator:
+        return np.random.default_rng([self.seed, *[n % (1 << 64) for n in numbers]])
 
-# ---- seating ----------------------------------------------------------------------------------------
+    def predicted(self, gain: np.ndarray, vocabulary: int, totals: np.ndarray) -> np.ndarray:
+        """What the parent predicts, given customers less discounted tables of the words, and all its customers and tables."""
+        base = 1 / (vocabulary + 1)
+        return (gain.astype(float) + (self.parent_strength + self.parent_discount * totals[1]) * base) / (self.parent_strength + totals[0])
 
 
-def uniform(keys: np.ndarray, turn: int) -> np.ndarray:
-    """Numbers in (0, 1) that depend on key and turn only."""
-    with np.errstate(over="ignore"):
-        h = mix(keys ^ np.uint64((turn * 0x9E3779B97F4A7C15 + 0x1234567) & (2**64 - 1)))
-    return ((h >> np.uint64(11)).astype(float) + 0.5) / 2**53
-
-
-def binomial(keys: np.ndarray, turn: int, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Successes in ``n`` trials: by the inverse distribution function, or, if many are expected, by the normal law."""
-    u = uniform(keys, turn)
-    out = (u < p).astype(np.int64)
-    group = np.flatnonzero(n > 1)
-    if not len(group):
-        return out
-    u, trials = u[group], n[group]
-    rare = np.minimum(p[group], 1 - p[group])
-    mean = trials * rare
-    found = np.zeros(len(group), np.int64)
-    many = mean > 6
-    if many.any():
-        z = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * np.pi * uniform(keys[group[many]], turn + 500_000))
-        found[many] = np.clip(np.rint(mean[many] + z * np.sqrt(mean[many] * (1 - rare[many]))), 0, trials[many])
-    few = np.flatnonzero(~many)
-    chance = (1 - rare[few]) ** trials[few]
-    below = chance.copy()
-    k, odds = 0, rare[few] / (1 - rare[few])
-    while len(few):
-        more = (u[few] > below) & (k < trials[few])
-        few, chance, below, odds = few[more], chance[more], below[more], odds[more]
-        chance = chance * odds * (trials[few] - k) / (k + 1)
-        below = below + chance
-        k += 1
-        found[few] = k
-    out[group] = np.where(p[group] > 0.5, trials - found, found)
-    return out
-
-
-def seat(keys: np.ndarray, customers: np.ndarray, weight: np.ndarray, discount: float, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of each dish, and the log of the seating's importance, if ``weight`` is the chance weight of a new table.
-
-    The first customer opens a table; with i seated at t tables the next opens one with chance w / (w + i - d t).
-    """
-    tables, log_weight = np.ones(len(keys), np.int64), np.zeros(len(keys))
-    live = np.flatnonzero(customers > 1)
-    k, c, w, i, t, g = keys[live], customers[live], weight[live], np.ones(len(live), np.int64), np.ones(len(live), np.int64), np.zeros(len(live))
-    draw = 0
-    while len(live):
-        m = np.minimum(np.where(i < GROUP, 1, i >> 4), c - i)
-        rate = w + i - discount * t
-        if draw >= GROUP - 1:
-            # in a group, the chance at its middle
-            rate = rate + (m - 1) * (1 - discount * w / rate) / 2
-        t = t + binomial(k, turn * 1_000_003 + draw, m, w / rate)
-        g = g + m * np.log(rate)
-        i = i + m
-        draw += 1
-        done = i >= c
-        if done.any():
-            tables[live[done]], log_weight[live[done]] = t[done], g[done]
-            more = ~done
-            live, k, c, w, i, t, g = live[more], k[more], c[more], w[more], i[more], t[more], g[more]
-    return tables, log_weight
-
-
-def sweeps(keys: np.ndarray, customers: np.ndarray, weight: np.ndarray, discount: float, first: int, burn_in: int, samples: int) -> np.ndarray:
-    """Mean number of tables over the samples after burn-in; dishes without customers have none."""
-    out = np.minimum(customers, 1).astype(float)
-    some = np.flatnonzero(customers > 1)
-    if not len(some):
-        return out
-    k, c, w = keys[some], customers[some], np.maximum(weight[some], 1e-300)
-    tables, log_weight = seat(k, c, w, discount, first)
-    total = np.zeros(len(some))
-    for s in range(1, burn_in + samples):
-        new, new_weight = seat(k, c, w, discount, first + s)
-        accept = np.log(uniform(k, 77_777 + first + s)) < new_weight - log_weight
-        tables, log_weight = np.where(accept, new, tables), np.where(accept, new_weight, log_weight)
-        if s >= burn_in:
-            total += tables
-    out[some] = total / samples
-    return out
+@dataclass(frozen=True)
+class Words:
+    """What everyone knows of the words: tokens, vocabulary, the buckets' names, where each bucket's numbers begin."""
 
+    tokens: int
+    vocabulary: int
+    names: np.ndarray
+    begin: np.ndarray
 
-# ---- blocks -----------------------------------------------------------------------------------------
+    @property
+    def dtype(self):
+        return np.uint32 if self.begin[-1] < 1 << 32 else np.uint64
+
+    def parts(self, numbers: np.ndarray):
+        """(bucket name, begin of its numbers, begin, end) of sorted numbers."""
+        for b, x, y in parts_of(np.searchsorted(numbers, self.begin)):
+            yield int(self.names[b]), self.begin[b], x, y
 
 
-def pair_keys(words: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A key for each pair; context ``len(words)`` is the beginning of a text."""
+def word_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(np.append(words, START)[context] * np.uint64(0x9DDFEA08EB382D69) ^ words[word])
+        return mix(a * np.uint64(0x9DDFEA08EB382D69) ^ mix(b))
+
+
+def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(context.astype(np.uint64) * np.uint64(0x9DDFEA08EB382D69) ^ mix(word))
+
+
+# ---- blocks -----------------------------------------------------------------------------------------
 
 
 def read(docs: pa.Table, modulus: int) -> bytes:
-    """A block's documents as ids, numbers of tokens, distinct words, and each token's word."""
+    """A block's documents as ids, numbers of tokens, keys of distinct words in the order of their hashes, each token's word."""
     data, offsets = utf8_buffer(docs.column("text").combine_chunks())
     n = len(offsets) - 1
-    hashes, counts = [], []
+    a, b, counts = [], [], [np.zeros(0, np.int64)]
     for i, j in chunks_of(offsets, 2 << 20):
         part, own = ASCII_LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         starts, ends, rows = word_spans(part, own, NOT_BLANK)
-        hashes.append(span_hashes(part, starts, ends) if len(starts) else np.zeros(0, np.uint64))
+        keys = word_keys(part, starts, ends)
+        a.append(keys[0])
+        b.append(keys[1])
         counts.append(np.bincount(rows, minlength=j - i))
-    per = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64) + 1
-    last = np.cumsum(per) - 1
-    tokens = np.full(int(per.sum()), END)
-    is_word = np.ones(len(tokens), bool)
-    is_word[last] = False
-    tokens[is_word] = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-    words, token = np.unique(tokens, return_inverse=True)
+    per = np.concatenate(counts).astype(np.int64) + 1
+    key_a, key_b = np.full(int(per.sum()) + 1, END[0], np.uint64), np.full(int(per.sum()) + 1, END[1], np.uint64)
+    is_word = np.ones(len(key_a), bool)
+    is_word[np.cumsum(per) - 1] = False
+    is_word[-1] = False
+    key_a[is_word], key_b[is_word] = np.concatenate([*a, np.zeros(0, np.uint64)]), np.concatenate([*b, np.zeros(0, np.uint64)])
+    # after all tokens, the context at the beginning of texts
+    key_a[-1], key_b[-1] = START
+    first, word = grouped(word_hash(key_a, key_b), key_a, key_b)
     ids = docs.column("doc_id").combine_chunks()
     null = ids.is_null().to_numpy(zero_copy_only=False)
     ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
     held = np.array([zlib.crc32(b"" if no else str(i).encode()) % modulus == HELD_OUT_REMAINDER for i, no in zip(ids.tolist(), null.tolist())], bool)
-    return pack(ids, null.astype(np.uint8), held.astype(np.uint8), per.astype(np.int32), words, token.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32))
+    return pack(ids, null.astype(np.uint8), held.astype(np.uint8), per.astype(np.int32), key_a[first], key_b[first], word.astype(np.uint16 if len(first) <= 1 << 16 else np.uint32))
 
 
 class Block:
     """One block's tokens, as distinct words and distinct pairs, and the answers it has."""
 
-    def __init__(self, kept: pa.Table, got: dict, buckets: tuple[np.ndarray, np.ndarray]):
-        self.got = got
-        self.buckets, self.fine = buckets
-        self.ids, self.null, held, self.per, self.words, token = unpack(kept.column("state")[0].as_py())
-        self.trains, self.n, self.token = held == 0, len(self.per), token.astype(np.int64)
+    def __init__(self, kept: pa.Table, got: dict, names: np.ndarray):
+        self.got, self.names = got, names
+        self.ids, self.null, held, self.per, self.a, self.b, word = unpack(kept.column("state")[0].as_py())
+        self.trains, self.n, self.token, self.start = held == 0, len(self.per), word[:-1].astype(np.int64), int(word[-1])
         self.doc = np.repeat(np.arange(self.n), self.per)
         self.token_trains = self.trains[self.doc]
 
+    def ask_words(self) -> list[tuple]:
+        """Distinct words with how often they are learnt from here."""
+        count = np.bincount(self.token[self.token_trains], minlength=len(self.a))
+        cut = cut_by_bucket(word_hash(self.a, self.b), len(self.names))
+        return [(int(self.names[b]), pack(self.a[x:y], self.b[x:y], *pack_counts(count[x:y]))) for b, x, y in parts_of(cut)]
+
+    def know_words(self, words: Words) -> None:
+        """Each word's number and count, and the customers of each context: as often as the word, but that the end is no
+        context, and every text has a beginning."""
+        n = len(self.a)
+        self.number, self.known = np.empty(n, words.dtype), np.empty(n, np.int64)
+        for b, x, y in parts_of(cut_by_bucket(word_hash(self.a, self.b), len(self.names))):
+            numbers, *counts, _ = unpack(self.got[WORDS][int(self.names[b])])
+            self.number[x:y], self.known[x:y] = numbers + words.begin[b].astype(words.dtype), unpack_counts(*counts)
+        self.customers = self.known.copy()
+        end = np.flatnonzero((self.a == END[0]) & (self.b == END[1]))
+        self.customers[self.start] = self.known[end].sum()
+        self.customers[end] = 0
+
     def find_pairs(self) -> None:
-        """Distinct (context, word) pairs, by key, and each token's."""
-        v = len(self.words)
+        """Distinct (context, word) pairs in the order of their hashes, and each token's."""
+        v = len(self.a)
         context = np.empty(len(self.token), np.int64)
         context[1:] = self.token[:-1]
-        context[np.append(0, np.cumsum(self.per)[:-1])] = v
-        codes, pair = np.unique(context * (v + 1) + self.token, return_inverse=True)
-        context, word = codes // (v + 1), codes % (v + 1)
-        key = pair_keys(self.words, context, word)
-        order = np.argsort(key, kind="stable")
-        self.key, self.context, self.word = key[order], context[order], word[order]
+        context[np.append(0, np.cumsum(self.per)[:-1])] = self.start
+        codes, pair = np.unique(context * v + self.token, return_inverse=True)
+        context, word = codes // v, codes % v
+        hashes = pair_hash(self.number[context], self.number[word])
+        order = np.argsort(hashes, kind="stable")
+        self.context, self.word = context[order], word[order]
+        self.cut = cut_by_bucket(hashes[order], len(self.names))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.pair = place[pair]
 
-    @staticmethod
-    def messages(buckets: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-        cut = cut_by_bucket(keys, len(buckets))
-        return [(int(buckets[b]), pack(pack_keys(keys[x:y]), *[c for col in columns for c in (pack_counts(col[x:y]) if col.dtype.kind == "i" else [col[x:y]])])) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-
-    def answered(self, kind: int, buckets: np.ndarray, keys: np.ndarray, columns: int, counts: bool = True) -> list[np.ndarray]:
-        """So many columns, of counts or else of plain numbers, in the order of ``keys``."""
-        cut = cut_by_bucket(keys, len(buckets))
-        out = [unpack(self.got[kind][int(buckets[b])]) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-        if not out:
-            return [np.zeros(0, np.int64)] * columns
-        return [np.concatenate([unpack_counts(*x[3 * k : 3 * k + 3]) if counts else x[k] for x in out]) for k in range(columns)]
-
-    # the rounds
-
-    def ask_words(self) -> list[tuple]:
-        return self.messages(self.buckets, self.words, np.bincount(self.token[self.token_trains], minlength=len(self.words)))
-
-    def know_words(self, totals: tuple) -> None:
-        """Counts of words and of contexts: as often as words, but that the end is none, and every text has a beginning."""
-        self.tokens, self.vocabulary = totals
-        self.known = self.answered(1, self.buckets, self.words, 1)[0]
-        end = np.flatnonzero(self.words == END)
-        self.customers = np.append(self.known, self.known[end])
-        self.customers[end] = 0
-
-    def share(self) -> np.ndarray:
-        return np.bincount(self.pair[self.token_trains], minlength=len(self.key))
-
-    def ask_pairs(self, totals: tuple, model: Model) -> list[tuple]:
-        """This block's share of each pair, and the log of the weight of a new table while none are known: by the share
-        of a word among all tokens, and a power law for a context's tables."""
+    def ask_pairs(self, words: Words) -> list[tuple]:
+        """Distinct pairs with how often they are learnt from here."""
+        self.know_words(words)
         self.find_pairs()
-        self.know_words(totals)
-        likely = (self.known + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1))
-        weight = np.log((model.strength + model.discount * self.customers**model.discount)[self.context] * likely[self.word])
-        return self.messages(self.fine, self.key, self.share(), weight.astype(np.float16))
-
-    def know_pairs(self) -> None:
+        share = np.bincount(self.pair[self.token_trains], minlength=len(self.context))
+        return [
+            (int(self.names[b]), pack(self.number[self.context[x:y]], self.number[self.word[x:y]], *pack_counts(share[x:y])))
+            for b, x, y in parts_of(self.cut)
+        ]
+
+    def ask_parents(self, words: Words) -> list[tuple]:
+        """Words' numbers only, for what the samples say of them."""
+        self.know_words(words)
+        return [(int(self.names[b]), pack((self.number[x:y] - words.begin[b].astype(words.dtype)))) for b, x, y in parts_of(cut_by_bucket(word_hash(self.a, self.b), len(self.names)))]
+
+    def predict(self, words: Words, totals: list[np.ndarray], model: Model) -> np.ndarray:
+        """Each token's probability, averaged over the samples."""
+        self.know_words(words)
         self.find_pairs()
-        self.count, self.first = self.answered(2, self.fine, self.key, 2)
-
-    def ask_tables(self) -> list[tuple]:
-        """Tables of this block's share of each pair, summed by dish and by context."""
-        self.know_pairs()
-        share = self.first * self.share() / np.maximum(self.count, 1)
-        as_dish = np.bincount(self.word, share, len(self.words))
-        as_context = np.bincount(self.context, share, len(self.words) + 1)
-        out = self.messages(self.buckets, self.words, as_dish.astype(np.float32), as_context[:-1].astype(np.float32))
-        # the context at the beginning of texts is no word; its tables go with the block's first message
-        bucket, first = out[0]
-        out[0] = (bucket, pack(*unpack(first), as_context[-1:]))
-        return out
-
-    def know_tables(self, totals: tuple, parent: tuple, model: Model) -> None:
-        """The parent's predictions, and the weight of a new table for each pair."""
-        self.know_words(totals)
-        self.know_pairs()
-        dish, tables_of, own = self.answered(3, self.buckets, self.words, 3, counts=False)
-        customers0, tables0, start_tables = parent
-        base = 1 / (self.vocabulary + 1)
-        d0, s0 = model.parent_discount, model.parent_strength
-        self.likely = (np.maximum(dish - d0 * own, 0) + (s0 + d0 * tables0) * base) / (s0 + customers0)
-        self.weight = (model.strength + model.discount * np.append(tables_of, start_tables))[self.context] * self.likely[self.word]
-        self.several = np.flatnonzero(self.count > 1)
-
-    def ask_sweeps(self, totals: tuple, parent: tuple, model: Model) -> list[tuple]:
-        """Pairs with several customers, for which there is something to resample."""
-        self.know_tables(totals, parent, model)
-        some = self.several
-        return self.messages(self.fine, self.key[some], self.count[some], self.weight[some].astype(np.float32))
-
-    def score(self, totals: tuple, parent: tuple, model: Model) -> pa.Table:
-        self.know_tables(totals, parent, model)
-        tables = np.minimum(self.count, 1).astype(float)
-        tables[self.several] = self.answered(4, self.fine, self.key[self.several], 1)[0] / model.samples
-        p = (self.count - model.discount * tables + self.weight) / (model.strength + self.customers[self.context])
-        log_p = np.log10(np.maximum(p, 1e-300))[self.pair]
-        smooth = np.log10((self.known + 1) / (self.tokens + self.vocabulary + 1))[self.token]
+        pairs = [unpack(self.got[PAIRS][int(self.names[b])]) for b, _, _ in parts_of(self.cut)]
+        count = np.concatenate([unpack_counts(*p[:3]) for p in pairs])
+        tables = np.concatenate([unpack_counts(*p[3:]) for p in pairs]) / model.samples
+        parents = [unpack(self.got[PARENTS][int(self.names[b])]) for b, _, _ in parts_of(cut_by_bucket(word_hash(self.a, self.b), len(self.names)))]
+        customers = (model.strength + self.customers)[self.context]
+        p = np.maximum(count - model.discount * tables, 0) / customers
+        for s in range(model.samples):
+            likely = model.predicted(np.concatenate([x[2 * s] for x in parents]), words.vocabulary, totals[s])
+            own = np.concatenate([x[2 * s + 1] for x in parents]).astype(float)
+            p += (model.strength + model.discount * own)[self.context] / customers * likely[self.word] / model.samples
+        return p[self.pair]
+
+    def score(self, words: Words, totals: list[np.ndarray], model: Model, per_token: bool) -> pa.Table:
+        log_p = np.log10(np.maximum(self.predict(words, totals, model), 1e-300))
+        smooth = np.log10((self.known + 1) / (words.tokens + words.vocabulary + 1))[self.token]
         out = {
             "doc_id": pa.array(self.ids, pa.int64(), mask=self.null.astype(bool)), "held_out": pa.array(~self.trains), "n_tokens": np.bincount(self.doc, minlength=self.n),
-            "n_known": np.bincount(self.doc, self.known[self.token] > 0, self.n).astype(np.int64), "train_tokens": np.full(self.n, self.tokens),
+            "n_known": np.bincount(self.doc, self.known[self.token] > 0, self.n).astype(np.int64), "train_tokens": np.full(self.n, words.tokens),
             "base_score": np.bincount(self.doc, smooth, self.n), "score": np.bincount(self.doc, log_p, self.n),
         }
+        if per_token:
+            out["token_log10"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(self.per)), pa.int32()), pa.array(log_p))
         return pa.table(out)
 
 
-def parent_tables(keys: np.ndarray, customers: np.ndarray, model: Model, vocabulary: int) -> np.ndarray:
-    """Tables of each dish in the parent restaurant, whose customers are the tables of all contexts."""
-    whole = np.rint(customers).astype(np.int64)
-    # the base is uniform, so a new table's weight is the same for every dish; its tables in all are near the vocabulary
-    weight = np.full(len(keys), (model.parent_strength + model.parent_discount * vocabulary) / (vocabulary + 1))
-    return sweeps(keys, whole, weight, model.parent_discount, 201, model.burn_in, model.samples)
+# ---- holders of words -------------------------------------------------------------------------------
 
 
-def _sums(payloads: list[bytes]) -> list[bytes]:
-    """Counts by key over all blocks; after the answer come all the bucket's customers and dishes."""
+def number_words(payloads: list[bytes]) -> list[bytes]:
+    """Numbers and counts of words over all blocks; last come the bucket's tokens, known words, all words, by number their counts."""
     parts = [unpack(p) for p in payloads]
-    uniq, inverse = np.unique(np.concatenate([unpack_keys(p[0]) for p in parts]), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([unpack_counts(*p[1:4]) for p in parts]).astype(float), len(uniq)).astype(np.int64)
-    about = np.array([total.sum(), (total > 0).sum()], np.int64)
-    return [pack(*pack_counts(x), about) for x in np.split(total[inverse], np.cumsum([len(p[0]) // 6 for p in parts])[:-1])]
-
-
-def _together(payloads: list[bytes]) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """What blocks sent of pairs: their parts, the distinct keys, where each is first, its index everywhere, the cuts between blocks."""
+    a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    first, group = grouped(word_hash(a, b), a, b)
+    total = np.bincount(group, np.concatenate([unpack_counts(*p[2:]) for p in parts]).astype(float), len(first)).astype(np.int64)
+    about = np.array([total.sum(), (total > 0).sum(), len(first)], np.int64)
+    return [pack(g.astype(np.uint32), *pack_counts(total[g]), about) for g in np.split(group, np.cumsum([len(p[0]) for p in parts])[:-1])]
+
+
+@dataclass
+class Sums:
+    """Sums of tables by word and by context that a bucket of pairs has, and the words it sends them to."""
+
+    dish: np.ndarray
+    context: np.ndarray
+
+    def messages(self, words: Words, dish_sum: np.ndarray, context_sum: np.ndarray) -> dict[int, bytes]:
+        out: dict[int, list] = {}
+        for k, (numbers, sums) in enumerate(((self.dish, dish_sum), (self.context, context_sum))):
+            for name, begin, x, y in words.parts(numbers):
+                parts = out.setdefault(name, [np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.uint32), np.zeros(0, np.int64)] * 2)
+                parts[4 * k : 4 * k + 4] = [(numbers[x:y] - begin).astype(np.uint32), *pack_counts(sums[x:y])]
+        return {name: pack(*parts) for name, parts in out.items()}
+
+    def answers(self, words: Words, got: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """What the holders say of these words and of these contexts."""
+        parts = {name: unpack(p) for name, p in got.items()}
+        return tuple(np.concatenate([np.zeros(0, np.float32)] + [parts[name][k] for name, _, _, _ in words.parts(numbers)]) for k, numbers in enumerate((self.dish, self.context)))
+
+
+def rows_of(name: int, out: list[tuple[int, int, bytes]], about: list[float] | None = None) -> pa.Table:
+    """Messages (to, kind, payload) of a bucket; with ``about`` one more row, to nobody, says that of it."""
+    to, kind, payload = zip(*out, *([(name, 0, b"")] if about else [])) if out or about else ((), (), ())
+    columns = {"block": pa.array(to, pa.int64()), "kind": pa.array(kind, pa.int32()), "bucket": pa.array([name] * len(to), pa.int64()), "payload": pa.array(payload, pa.binary())}
+    return pa.table(columns | ({"about": pa.array([None] * len(out) + [about], pa.list_(pa.float64()))} if about else {}))
+
+
+def seat_parent(words: Words, model: Model, sweep: int, scale: float, fixed: dict[int, bytes], further: dict[int, bytes], name: int, sample: bool) -> pa.Table:
+    """A bucket of words: adds up the tables of its words and contexts (``fixed``: one a pair; ``further``: those beyond),
+    draws the parent's tables and the contexts' x, and answers each bucket of pairs."""
+    bucket = int(np.flatnonzero(words.names == name)[0])
+    size = int(words.begin[bucket + 1] - words.begin[bucket])
+    dish, own, asked = np.zeros(size), np.zeros(size), []
+    for source in (fixed, further):
+        for sender, payload in sorted(source.items()):
+            p = unpack(payload)
+            # a message has each number once
+            dish[p[0]] += unpack_counts(*p[1:4])
+            own[p[4]] += unpack_counts(*p[5:8])
+            if source is further:
+                asked.append((sender, p[0], p[4]))
+    rng = model.rng(1, sweep, name)
+    weight = np.full(size, np.log(model.parent_discount * scale / (words.vocabulary + 1)))
+    tables = draw(dish.astype(np.int64), weight, model.parent_discount, rng)
+    x = (model.discount * rng.standard_gamma(model.strength / model.discount + own)).astype(np.float32)
+    gain = (dish - model.parent_discount * tables).astype(np.float32)
+    rows = [(sender, SWEEP, pack(gain[d], x[c])) for sender, d, c in asked]
+    if sample:
+        rows.append((name, SAMPLE + sweep, pack(gain, own.astype(np.float32))))
+    return rows_of(name, rows, [float(dish.sum()), float(tables.sum())])
+
+
+# ---- holders of pairs -------------------------------------------------------------------------------
+
+
+class Pairs:
+    """Pairs of a bucket with several customers: their words, contexts and counts. All others have one table."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, n: np.ndarray):
+        self.n = n
+        dish, self.word = np.unique(word, return_inverse=True)
+        own, self.context = np.unique(context, return_inverse=True)
+        self.sums = Sums(dish, own)
+
+    def seat(self, words: Words, model: Model, sweep: int, name: int, totals: np.ndarray, got: dict[int, bytes]) -> np.ndarray:
+        gain, x = self.sums.answers(words, got)
+        likely = model.predicted(gain, words.vocabulary, totals)
+        return draw(self.n, np.log(x.astype(float)[self.context] * likely[self.word]), model.discount, model.rng(2, sweep, name))
+
+    def further(self, words: Words, tables: np.ndarray) -> dict[int, bytes]:
+        """Tables beyond the first, to the holders of words."""
+        more = (tables - 1).astype(float)
+        return self.sums.messages(words, np.bincount(self.word, more, len(self.sums.dish)).astype(np.int64), np.bincount(self.context, more, len(self.sums.context)).astype(np.int64))
+
+
+def count_pairs(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Distinct pairs over all blocks and their counts; each sent pair's place among them; the cuts between blocks."""
     parts = [unpack(p) for p in payloads]
-    uniq, at, inverse = np.unique(np.concatenate([unpack_keys(p[0]) for p in parts]), return_index=True, return_inverse=True)
-    return parts, uniq, at, inverse, np.cumsum([len(p[0]) // 6 for p in parts])[:-1].tolist()
-
-
-def _first_seating(model: Model):
-    """Counts of pairs over all blocks, and their tables after all customers were seated once."""
-
-    def run(payloads: list[bytes]) -> list[bytes]:
-        parts, uniq, at, inverse, cuts = _together(payloads)
-        total = np.bincount(inverse, np.concatenate([unpack_counts(*p[1:4]) for p in parts]).astype(float), len(uniq)).astype(np.int64)
-        weight = np.exp(np.concatenate([p[4] for p in parts])[at].astype(float))
-        tables = np.minimum(seat(uniq, total, weight, model.discount, 1)[0], total)
-        return [pack(*pack_counts(a), *pack_counts(b)) for a, b in zip(np.split(total[inverse], cuts), np.split(tables[inverse], cuts))]
-
-    return run
+    context, word = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    if context.dtype == np.uint32:
+        codes, group = np.unique(context.astype(np.uint64) << np.uint64(32) | word, return_inverse=True)
+        context, word = (codes >> np.uint64(32)).astype(np.uint32), codes.astype(np.uint32)
+    else:
+        first, group = grouped(pair_hash(context, word), context, word)
+        context, word = context[first], word[first]
+    n = np.bincount(group, np.concatenate([unpack_counts(*p[2:]) for p in parts]).astype(float), len(context)).astype(np.int64)
+    return context, word, n, group, np.cumsum([len(p[0]) for p in parts])[:-1].tolist()
 
 
-def _sweeps(model: Model):
-    """Tables of pairs, summed over the samples."""
+def score_documents(docs: DataFrame, model: Model = Model(), id_col: str = "doc_id", text_col: str = "text", modulus: int = HELD_OUT_MODULUS, per_token: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row for each row of ``docs``. With
+    ``per_token`` also token_log10, the log10 probability of each token.
 
-    def run(payloads: list[bytes]) -> list[bytes]:
-        parts, uniq, at, inverse, cuts = _together(payloads)
-        count = np.concatenate([unpack_counts(*p[1:4]) for p in parts])[at]
-        weight = np.concatenate([p[4] for p in parts])[at].astype(float)
-        mean = sweeps(uniq, count, weight, model.discount, 101, model.burn_in, model.samples)
-        total = np.rint(mean * model.samples).astype(np.int64)
-        return [pack(*pack_counts(x)) for x in np.split(total[inverse], cuts)]
-
-    return run
-
-
-def _tables(model: Model, vocabulary: int):
-    def run(payloads: list[bytes]) -> list[bytes]:
-        parts = [unpack(p) for p in payloads]
-        start = sum(float(p[3][0]) for p in parts if len(p) > 3)
-        uniq, inverse = np.unique(np.concatenate([unpack_keys(p[0]) for p in parts]), return_inverse=True)
-        dish, context = (np.bincount(inverse, np.concatenate([p[k].astype(float) for p in parts]), len(uniq)) for k in (1, 2))
-        own = parent_tables(uniq, dish, model, vocabulary)
-        about = np.array([dish.sum(), own.sum(), start])
-        out, at = [], 0
-        for p in parts:
-            n = len(p[0]) // 6
-            i = inverse[at : at + n]
-            at += n
-            out.append(pack(dish[i], context[i], own[i], about))
-        return out
-
-    return run
+    Learns from the rows that are not held out. Null texts count as empty and have one token, the end. Repeated rows
+    are learnt and scored each; a null id counts as the id ''. An empty table gives no rows; if nothing is left to learn
+    from, all probabilities are uniform. Words and pairs are told apart by their bytes (words of more than 15 bytes by 120
+    bits of a cryptographic digest). Other columns are not read. ``base_score`` smooths single words by adding one.
+    """
+    blocks = Blocks(docs, id_col, text_col, keep=lambda t: read(t, modulus))
+    names = blocks.buckets
+    answered = blocks.answer(blocks.ask(lambda d, g: Block(d, g, names).ask_words()), WORDS, number_words)
+    tokens, vocabulary, begin = _totals(answered, names)
+    words = Words(tokens, vocabulary, names, begin)
+
+    def ask_pairs():
+        return blocks.ask(lambda d, g: Block(d, g, names).ask_pairs(words), answered)
+
+    def begin_pairs(key, t):
+        context, word, n, _, _ = count_pairs(t.column("payload").to_pylist())
+        name, some, several = key[0].as_py(), n > 0, n > 1
+        # all pairs by word and by context; those with something to draw stay with this bucket
+        everyone, rest = Pairs(context[some], word[some], n[some]), Pairs(context[several], word[several], n[several])
+        out = [(to, SUMS, p) for to, p in everyone.further(words, np.full(len(everyone.n), 2)).items()]
+        out += [(to, SWEEP, p) for to, p in rest.further(words, np.ones(len(rest.n))).items()]
+        return rows_of(name, [*out, (name, PAIRS, pack(context[several], word[several], *pack_counts(n[several])))])
+
+    counted = written(ask_pairs().groupBy("bucket").applyInArrow(begin_pairs, ROW))
+    state, fixed = counted.where(F.col("kind") == PAIRS), counted.where(F.col("kind") == SUMS)
+
+    def seat_pairs(told: DataFrame, sweep: int, totals: np.ndarray) -> DataFrame:
+        """The draws of one sweep, as sums for the holders of words."""
+
+        def run(key, own, told):
+            name = key[0].as_py()
+            out = {}
+            for payload in own.column("payload").to_pylist():
+                context, word, *n = unpack(payload)
+                pairs = Pairs(context, word, unpack_counts(*n))
+                out = pairs.further(words, pairs.seat(words, model, sweep, name, totals, by_kind(told, "bucket").get(SWEEP, {})))
+            return rows_of(name, [(to, SWEEP, p) for to, p in out.items()])
+
+        return state.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, ROW)
+
+    def seat_parents(further: DataFrame, sweep: int, tables: float) -> tuple[DataFrame, np.ndarray]:
+        scale = float(model.rng(3, sweep).standard_gamma(model.parent_strength / model.parent_discount + tables))
+        sample = sweep > model.burn_in
+
+        def run(key, t):
+            got = by_kind(t, "bucket")
+            return seat_parent(words, model, sweep, scale, got.get(SUMS, {}), got.get(SWEEP, {}), key[0].as_py(), sample)
+
+        step = fixed.unionByName(further).groupBy("block").applyInArrow(run, STEP)
+        seen = Observation()
+        out = written(step.observe(seen, *[F.sum(F.get("about", F.lit(i))).alias(f"s{i}") for i in range(2)]))
+        return out, np.array([seen.get[f"s{i}"] or 0.0 for i in range(2)])
+
+    further, tables, steps, totals = counted.where(F.col("kind") == SWEEP), float(vocabulary), [], []
+    last = model.burn_in + model.samples
+    for sweep in range(last + 1):
+        step, total = seat_parents(further, sweep, tables)
+        steps.append(step)
+        totals.append(total)
+        tables = float(total[1])
+        further = seat_pairs(steps[-1].where(F.col("kind") == SWEEP), sweep, totals[-1])
+    kept = range(model.burn_in, last)
+
+    def answer_pairs(payloads: list[bytes], name: int, got: dict) -> list[bytes]:
+        """Counts of pairs and their tables summed over the samples, by the draws of the sweeps again."""
+        context, word, n, group, cuts = count_pairs(payloads)
+        several = np.flatnonzero(n > 1)
+        pairs = Pairs(context[several], word[several], n[several])
+        tables = np.minimum(n, 1) * model.samples
+        if len(several):
+            tables[several] = sum(pairs.seat(words, model, s, name, totals[s], got[s]) for s in kept)
+        return [pack(*pack_counts(n[g]), *pack_counts(tables[g])) for g in np.split(group, cuts)]
+
+    def answer_parents(payloads: list[bytes], name: int, got: dict) -> list[bytes]:
+        samples = [x for s in kept for x in unpack(got[SAMPLE + s + 1][name])] if got else []
+        return [pack(*[x[unpack(p)[0]] for x in samples]) if samples else pack(*[np.zeros(len(unpack(p)[0]), np.float32)] * (2 * model.samples)) for p in payloads]
+
+    seated = reduce(DataFrame.unionByName, [steps[s].where(F.col("kind") == SWEEP).select("block", F.lit(s).alias("kind"), "bucket", "payload") for s in kept])
+    parents = reduce(DataFrame.unionByName, [steps[s + 1].where(F.col("kind") > SAMPLE).select("block", "kind", "bucket", "payload") for s in kept])
+    of_pairs = blocks.answer_with(ask_pairs(), seated, PAIRS, answer_pairs)
+    of_words = blocks.answer_with(blocks.ask(lambda d, g: Block(d, g, names).ask_parents(words), answered), parents, PARENTS, answer_parents)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + ", token_log10 array<double>" * per_token
+    of_samples = [totals[s + 1] for s in kept]
+    told = answered.unionByName(of_pairs).unionByName(of_words)
+    result = written(blocks.each(lambda _, d, g: Block(d, g, names).score(words, of_samples, model, per_token), schema, told))
+    blocks.drop(answered, counted, of_pairs, of_words, *steps)
+    return result
 
 
-def _about(answers: DataFrame) -> np.ndarray:
-    """Sums over all buckets of what each says about itself: one row a bucket, summed by Spark."""
+def _totals(answered: DataFrame, names: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Tokens, vocabulary, and where each bucket's numbers begin: three numbers a bucket."""
 
     def run(batches):
         for b in batches:
-            rows = [unpack(x)[-1].astype(float) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([list(r) for r in rows], pa.list_(pa.float64()))], names=["x"])
-
-    one = answers.groupBy("bucket").agg(F.first("payload").alias("payload")).select("payload").mapInArrow(run, "x array<double>")
-    row = one.agg(*[F.coalesce(F.sum(F.get("x", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(3)]).first()
-    return np.array(list(row))
-
+            about = [unpack(x)[-1].tolist() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(about, pa.list_(pa.int64()))], names=["bucket", "x"])
 
-def score_documents(docs: DataFrame, model: Model = Model(), id_col: str = "doc_id", text_col: str = "text", modulus: int = HELD_OUT_MODULUS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row for each row of ``docs``.
-
-    Learns from the rows that are not held out. Null texts count as empty and have one token, the end. Repeated rows
-    are learnt and scored each; a null id counts as the id ''. An empty table gives no rows; if nothing is left to learn
-    from, all probabilities are uniform. Other columns are not read. ``base_score`` smooths single words by adding one.
-    """
-    blocks = Blocks(docs, id_col, text_col, keep=lambda t: read(t, modulus), each=1)
-    keys = (blocks.buckets, blocks.fine)
-    words = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_words()), 1, _sums)
-    totals = tuple(int(x) for x in _about(words)[:2])
-    pairs = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_pairs(totals, model), words), 2, _first_seating(model))
-    tables = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_tables(), pairs), 3, _tables(model, totals[1]))
-    parent = tuple(_about(tables))
-    told = words.unionByName(pairs).unionByName(tables)
-    seated = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys).ask_sweeps(totals, parent, model), told), 4, _sweeps(model))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    result = written(blocks.each(lambda _, d, g: Block(d, g, keys).score(totals, parent, model), schema, told.unionByName(seated)))
-    blocks.drop()
-    return result
+    one = answered.groupBy("bucket").agg(F.first("payload").alias("payload")).mapInArrow(run, "bucket long, x array<long>").collect()
+    found = {r["bucket"]: r["x"] for r in one}
+    about = np.array([found.get(int(n), (0, 0, 0)) for n in names], np.int64).reshape(-1, 3)
+    return int(about[:, 0].sum()), int(about[:, 1].sum()), np.append(0, np.cumsum(about[:, 2])).astype(np.uint64)
