@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Blocks, cut_by_bucket, pack, pack_counts, pack_keys, unpack, unpack_counts, unpack_keys
+from .blocks import Blocks, cut_by_bucket, pack, pack_counts, unpack, unpack_counts
 from .common import ASCII_LOWER, NOT_BLANK, chunks_of, id_text, mix, span_hashes, utf8_buffer, word_spans, written
 from .simhash import NO_ID, components
 
@@ -83,15 +83,15 @@ def _ask(kept: pa.Table, buckets: np.ndarray) -> list[tuple]:
     """In how many of the block's sets each shingle is."""
     keys, count = np.unique(unpack(kept.column("state")[0].as_py())[1], return_counts=True)
     cut = cut_by_bucket(keys, len(buckets))
-    return [(int(buckets[b]), pack(pack_keys(keys[x:y]), *pack_counts(count[x:y]))) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+    return [(int(buckets[b]), pack(keys[x:y], *pack_counts(count[x:y]))) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
 
 
 def _frequencies(payloads: list[bytes]) -> list[bytes]:
     """In how many sets of all blocks."""
     parts = [unpack(p) for p in payloads]
-    uniq, inverse = np.unique(np.concatenate([unpack_keys(p[0]) for p in parts]), return_inverse=True)
+    uniq, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     total = np.bincount(inverse, np.concatenate([unpack_counts(*p[1:4]) for p in parts]).astype(float), len(uniq)).astype(np.int64)
-    return [pack(*pack_counts(x)) for x in np.split(total[inverse], np.cumsum([len(p[0]) // 6 for p in parts])[:-1])]
+    return [pack(*pack_counts(x)) for x in np.split(total[inverse], np.cumsum([len(p[0]) for p in parts])[:-1])]
 
 
 def _prefixes(kept: pa.Table, got: dict, buckets: np.ndarray, least: tuple[int, int]) -> pa.Table:
@@ -137,7 +137,7 @@ def similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFr
 
 def near_links(nodes: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
     """node, root for every one of the nodes (doc_id, text; distinct sets) that is similar to another."""
-    blocks = Blocks(nodes, keep=_state(shingle), each=1)
+    blocks = Blocks(nodes, keep=_state(shingle))
     buckets = blocks.buckets
     often = blocks.answer(blocks.ask(lambda d, _: _ask(d, buckets)), 1, _frequencies)
     both = written(blocks.each(lambda _, d, g: _prefixes(d, g, buckets, least), "shingle long, node long, n long, rest long, members binary", often))

@@ -5,9 +5,13 @@ a document with a smaller id. Strings that are equal have the same minimiser:
 the smallest hash of the k-grams inside. So a text is cut into stretches whose
 windows share a minimiser, and a stretch is of interest only if its minimiser
 occurs in more than one text. The stretches that do are dealt to shards by their
-minimiser; equal windows meet in one shard. A shard sorts all suffixes of its
-distinct stretches by induced sorting, computes the permuted common prefixes,
-and so finds for each window the smallest document that has it.
+minimiser; equal windows meet in one shard. The stretches of a minimiser that is
+frequent (a footer, a common phrase, each time with other surroundings) are dealt
+window by window instead, by a hash of the whole window, so that no shard grows
+with one phrase. A shard sorts all suffixes of its distinct pieces by induced
+sorting, the leftmost-smaller substrings by the same sorting again, computes the
+permuted common prefixes, and so finds for each window the smallest document that
+has it.
 
 Before that, equal texts are found by their digests: only one of them (that of
 the smallest id) is cut, and of all the others every window is known to repeat.
@@ -22,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Blocks, cut_by_bucket, pack, pack_keys, unpack, unpack_keys
-from .common import chunks_of, mix, utf8_buffer, written
+from .blocks import Blocks, cut_by_bucket, pack, pack_counts, parts_of, unpack, unpack_counts
+from .common import chunks_of, mix, span_hashes, utf8_buffer, written
 
 LENGTH, GRAM = 50, 16
-#: Windows in one stretch at most.
-STRETCH = 64
-#: Bytes of one suffix array: a shard with more is split by further bits of the minimisers.
+#: Windows in one stretch at most; stretches from which on a minimiser's windows are dealt one by one.
+STRETCH, FREQUENT = 64, 2048
+#: Bytes of one suffix array: a shard with more is split by further bits of what its pieces are dealt by.
 SHARD_BYTES, PARTS = 1 << 20, 4096
+#: Text of a block, and text for each bucket of stretches.
+BLOCK_BYTES = 4 << 20
 #: Stands for a null id: later than every other, and not before another null.
 LAST = (1 << 63) - 1
 
@@ -49,132 +55,82 @@ def _types(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
-    """All suffixes in the order that the given order of the leftmost-smaller ones induces.
+def _scan(t: np.ndarray, goes: np.ndarray, order: np.ndarray, free: np.ndarray) -> None:
+    """One pass of induced sorting, from left to right: an entry puts the suffix before its own, if that ``goes``, to the
+    free front of its character's bucket. ``order`` has -1 where nothing is yet, ``free`` each bucket's next free place.
 
-    The scan goes bucket by bucket, and in a bucket by rounds: a round takes all entries that are there, and puts their
-    predecessors, in order, to the fronts (larger ones) or ends (smaller ones) of their buckets.
+    Entries go in batches: as many as stand before every place that the batch itself fills.
     """
+    n, at, size = len(order), 0, 1024
+    while at < n:
+        batch = order[at : at + size]
+        who = np.flatnonzero(batch > 0)
+        before = batch[who] - 1
+        some = goes[before]
+        who, before = who[some], before[some]
+        if not len(who):
+            at += len(batch)
+            size = min(2 * size, 1 << 16)
+            continue
+        bucket = t[before]
+        bound = np.minimum.accumulate(free[bucket]) - at
+        late = np.flatnonzero(who[1:] >= bound[:-1])
+        count = int(late[0]) + 1 if len(late) else len(who)
+        before, bucket = before[:count], bucket[:count]
+        by = np.argsort(bucket, kind="stable")
+        before, bucket = before[by], bucket[by]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        sizes = np.diff(np.append(first, count))
+        order[free[bucket] + np.arange(count) - np.repeat(first, sizes)] = before
+        free[bucket[first]] += sizes
+        done = min(len(batch), int(bound[count - 1]))
+        at += done
+        size = min(2 * size, 1 << 16) if done == len(batch) else max(256, 2 * done)
+
+
+def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """All suffixes in the order that the given order of the leftmost-smaller ones induces: larger ones from left to
+    right, then smaller ones from right to left (the same pass over mirrored places and characters)."""
     n = len(t)
-    size = np.bincount(t, minlength=k)
-    end = np.cumsum(size)
-    begin = end - size
-    order = lms[np.argsort(t[lms], kind="stable")]
+    end = np.cumsum(np.bincount(t, minlength=k))
     number = np.bincount(t[lms], minlength=k)
-    sa = np.full(n, -1, np.int32)
-    put = np.cumsum(number)
-    sa[np.arange(len(order)) + np.repeat(end - put, number)] = order
-    head, lms_at = begin.copy(), end - number
-
-    def send(batch: np.ndarray, wanted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        j = batch - 1
-        j = j[j >= 0]
-        j = j[s_type[j] == wanted]
-        c = t[j]
-        by = np.argsort(c, kind="stable")
-        j, c = j[by], c[by]
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-        return j, c[first].astype(np.int64), np.concatenate([first, [len(c)]])
-
-    for c in np.flatnonzero(size):
-        lo = begin[c]
-        while True:
-            hi = head[c]
-            batch = sa[lo:hi] if hi > lo else None
-            if batch is None:
-                break
-            lo = hi
-            j, chars, edges = send(batch, False)
-            for ch, a, b in zip(chars.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
-                sa[head[ch] : head[ch] + b - a] = j[a:b]
-                head[ch] += b - a
-        if number[c]:
-            j, chars, edges = send(sa[lms_at[c] : end[c]], False)
-            for ch, a, b in zip(chars.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
-                sa[head[ch] : head[ch] + b - a] = j[a:b]
-                head[ch] += b - a
-    tail = end.copy()
-    for c in np.flatnonzero(size)[::-1]:
-        hi = end[c]
-        while tail[c] < hi or hi == end[c]:
-            batch = sa[tail[c] : hi][::-1]
-            if not len(batch):
-                break
-            hi = tail[c]
-            j, chars, edges = send(batch, True)
-            for ch, a, b in zip(chars.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
-                sa[tail[ch] - (b - a) : tail[ch]] = j[a:b][::-1]
-                tail[ch] -= b - a
-        j, chars, edges = send(sa[begin[c] : head[c]][::-1], True)
-        for ch, a, b in zip(chars.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
-            sa[tail[ch] - (b - a) : tail[ch]] = j[a:b][::-1]
-            tail[ch] -= b - a
-    sa[tail[t[n - 1]] - 1 if size[t[n - 1]] > 1 else begin[t[n - 1]]] = n - 1
-    return sa
-
-
-def _order_of_names(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of the reduced text. Its alphabet is as large as the text itself, so that buckets would
-    hold single entries; here ranks of pairs at doubling distances are sorted, and of equal ranks only."""
-    m = len(names)
-    order = np.argsort(names, kind="stable")
-    sorted_names = names[order]
-    fresh = np.concatenate([[True], sorted_names[1:] != sorted_names[:-1]])
-    rank = np.empty(m + 1, np.int64)
-    rank[m] = -1
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(m), 0))
-    last = np.append(fresh[1:], True)
-    active = order[~(fresh & last)]
-    step = 1
-    while len(active):
-        a, b = rank[active], rank[np.minimum(active + step, m)]
-        by = np.argsort(a * (m + 1) + b)
-        active, a, b = active[by], a[by], b[by]
-        new_group = np.concatenate([[True], a[1:] != a[:-1]])
-        differs = new_group | np.concatenate([[True], b[1:] != b[:-1]])
-        at = np.arange(len(active))
-        place = a + at - np.maximum.accumulate(np.where(new_group, at, 0))
-        start = np.maximum.accumulate(np.where(differs, at, 0))
-        rank[active] = place[start]
-        order[place] = active
-        alone = differs & np.append(differs[1:], True)
-        active = active[~alone]
-        step *= 2
+    order = np.full(n, -1, np.int64)
+    placed = lms[np.argsort(t[lms], kind="stable")]
+    order[np.arange(len(lms)) + np.repeat(end - np.cumsum(number), number)] = placed
+    _scan(t, ~s_type, order, end - np.bincount(t, minlength=k))
+    _scan(k - 1 - t, s_type, order[::-1], (n - end)[::-1].copy())
     return order
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
-    """Suffixes of ``t`` (small numbers below ``k``; the last one unique and smallest) in order, by induced sorting."""
+    """Suffixes of ``t`` (whole numbers below ``k``; the last one unique and smallest) in order, by induced sorting."""
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
+    t = t.astype(np.int64)
     s_type = _types(t)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(lms) > 1:
         rough = _induce(t, s_type, lms, k)
-        mark = np.full(n, -1, np.int32)
+        mark = np.full(n, -1, np.int64)
         mark[lms] = np.arange(len(lms))
         in_order = mark[rough]
         in_order = in_order[in_order >= 0]
         # name the leftmost-smaller substrings: equal neighbours get one name
-        stop = np.append(lms[1:] + 1, n)
-        length = stop - lms
-        at, other = in_order[1:], in_order[:-1]
-        same = length[at] == length[other]
-        left, right, todo = lms[at], lms[other], np.flatnonzero(same)
-        depth = 0
+        length = np.append(lms[1:] + 1, n) - lms
+        same = length[in_order[1:]] == length[in_order[:-1]]
+        todo, depth = np.flatnonzero(same), 0
         while len(todo):
-            more = depth < length[at[todo]]
-            todo = todo[more]
-            equal = t[left[todo] + depth] == t[right[todo] + depth]
+            todo = todo[depth < length[in_order[todo]]]
+            equal = t[lms[in_order[todo + 1]] + depth] == t[lms[in_order[todo]] + depth]
             same[todo[~equal]] = False
             todo = todo[equal]
             depth += 1
         name = np.empty(len(lms), np.int64)
         name[in_order] = np.concatenate([[0], np.cumsum(~same)])
-        if name[in_order[-1]] + 1 < len(lms):
-            in_order = _order_of_names(name)
-        lms = lms[in_order]
+        names = int(name[in_order[-1]]) + 1
+        # where names repeat, the text of names is sorted in the same way
+        lms = lms[suffix_array(name, names) if names < len(lms) else in_order]
     return _induce(t, s_type, lms, k)
 
 
@@ -284,36 +240,44 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return np.concatenate(keys), np.concatenate(firsts), np.concatenate(counts)
 
 
+def read(docs: pa.Table) -> bytes:
+    """A block's documents as ids, sizes, digests and the bytes of all texts."""
+    data, offsets = utf8_buffer(docs.column("text").combine_chunks())
+    ids = docs.column("doc_id").combine_chunks()
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    ids = np.where(null, LAST, ids.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    raw, at = data.tobytes(), offsets.tolist()
+    digests = b"".join([hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(at, at[1:])])
+    return pack(ids, null.astype(np.uint8), np.diff(offsets), np.frombuffer(digests, "<u8"), data)
+
+
 class Block:
     """One block's texts, ids, and what it has been told so far."""
 
-    def __init__(self, docs: pa.Table, got: dict, blocks: tuple[np.ndarray, np.ndarray], length: int):
-        (self.buckets, self.fine), self.length = blocks, length
-        self.data, self.offsets = utf8_buffer(docs.column("text").combine_chunks())
-        ids = docs.column("doc_id").combine_chunks()
-        self.ids = np.where(ids.is_null().to_numpy(zero_copy_only=False), LAST, ids.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-        raw = self.data.tobytes()
-        self.raw, at = raw, self.offsets.tolist()
-        digests = b"".join([hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(at, at[1:])])
-        self.digests = np.frombuffer(digests, "<u8").reshape(-1, 2)
-        self.got = got
-
-    def by_digest(self) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((self.digests[:, 1], self.digests[:, 0]))
-        return order, cut_by_bucket(self.digests[order, 0], len(self.buckets))
+    def __init__(self, kept: pa.Table, got: dict, buckets: np.ndarray, length: int):
+        self.buckets, self.length, self.got = buckets, length, got
+        self.ids, self.null, size, digests, self.data = unpack(kept.column("state")[0].as_py())
+        self.offsets = np.append(0, np.cumsum(size))
+        self.digests = digests.reshape(-1, 2)
+
+    def by_digest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows that are the first of each digest, in the order of digests and of ids in it; each row's digest; the cut into buckets."""
+        order = np.lexsort((self.ids, self.digests[:, 1], self.digests[:, 0]))
+        new = np.append(True, (self.digests[order[1:]] != self.digests[order[:-1]]).any(axis=1))[: len(order)]
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        first = order[new]
+        return first, group, cut_by_bucket(self.digests[first, 0], len(self.buckets))
 
     def ask_digests(self) -> list[tuple]:
-        order, cut = self.by_digest()
-        return [(int(self.buckets[b]), pack(self.digests[order[x:y], 0], self.digests[order[x:y], 1], self.ids[order[x:y]])) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+        """Each distinct text's digest and its smallest id here."""
+        first, _, cut = self.by_digest()
+        return [(int(self.buckets[b]), pack(self.digests[first[x:y], 0], self.digests[first[x:y], 1], self.ids[first[x:y]])) for b, x, y in parts_of(cut)]
 
     def first_ids(self) -> np.ndarray:
         """For each text the smallest id that has it."""
-        order, cut = self.by_digest()
-        out = np.empty(len(self.ids), np.int64)
-        for b, (x, y) in enumerate(zip(cut, cut[1:])):
-            if y > x:
-                out[order[x:y]] = unpack(self.got[0][int(self.buckets[b])])[0]
-        return out
+        _, group, cut = self.by_digest()
+        return np.concatenate([np.zeros(0, np.int64)] + [unpack(self.got[0][int(self.buckets[b])])[0] for b, _, _ in parts_of(cut)])[group]
 
     def cut(self) -> None:
         """Stretches of the texts that are the first of their kind, each text once."""
@@ -324,53 +288,58 @@ class Block:
         keep = own[row]
         self.keys, self.start, self.count, self.row = keys[keep], start[keep], count[keep], row[keep]
 
-    def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted minimisers, whether each occurs under several ids here, and the index of each stretch's."""
-        uniq, inverse = np.unique(self.keys, return_inverse=True)
-        low = np.full(len(uniq), LAST, np.int64)
-        high = np.full(len(uniq), -LAST - 1, np.int64)
-        np.minimum.at(low, inverse, self.ids[self.row])
-        np.maximum.at(high, inverse, self.ids[self.row])
-        return uniq, low < high, inverse
+    def distinct_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted minimisers, and the index of each stretch's."""
+        return np.unique(self.keys, return_inverse=True)
 
     def ask_keys(self) -> list[tuple]:
+        """Minimisers, whether each occurs under several ids here, and the number of its stretches."""
         self.cut()
-        uniq, several, _ = self.distinct_keys()
-        cut = cut_by_bucket(uniq, len(self.buckets))
-        return [(int(self.buckets[b]), pack(pack_keys(uniq[x:y]), np.packbits(several[x:y]))) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+        uniq, inverse = self.distinct_keys()
+        low, high = np.full(len(uniq), LAST, np.int64), np.full(len(uniq), -LAST - 1, np.int64)
+        np.minimum.at(low, inverse, self.ids[self.row])
+        np.maximum.at(high, inverse, self.ids[self.row])
+        count = np.bincount(inverse, minlength=len(uniq))
+        return [(int(self.buckets[b]), pack(uniq[x:y], np.packbits((low < high)[x:y]), *pack_counts(count[x:y]))) for b, x, y in parts_of(cut_by_bucket(uniq, len(self.buckets)))]
 
     def candidates(self) -> None:
-        """Leaves the stretches whose minimiser is in several texts; finds the distinct contents, in order, by bucket."""
+        """Leaves the stretches whose minimiser is in several texts, those of frequent ones window by window; finds the
+        distinct contents, in order, by bucket."""
         self.cut()
-        uniq, _, inverse = self.distinct_keys()
-        cut = cut_by_bucket(uniq, len(self.buckets))
-        flag = np.zeros(len(uniq), bool)
-        for b, (x, y) in enumerate(zip(cut, cut[1:])):
-            if y > x:
-                flag[x:y] = np.unpackbits(unpack(self.got[1][int(self.buckets[b])])[0], count=y - x).astype(bool)
+        uniq, inverse = self.distinct_keys()
+        flag, frequent = np.zeros(len(uniq), bool), np.zeros(len(uniq), bool)
+        for b, x, y in parts_of(cut_by_bucket(uniq, len(self.buckets))):
+            flag[x:y], frequent[x:y] = (np.unpackbits(k, count=y - x).astype(bool) for k in unpack(self.got[1][int(self.buckets[b])]))
         keep = flag[inverse]
-        self.keys, self.start, self.count, self.row = self.keys[keep], self.start[keep], self.count[keep], self.row[keep]
-        bucket = np.searchsorted(np.array([(b << 64) // len(self.fine) for b in range(1, len(self.fine))], np.uint64), self.keys, side="right")
+        single = frequent[inverse][keep]
+        keys, start, count, row = self.keys[keep], self.start[keep], self.count[keep], self.row[keep]
+        if single.any():
+            each = np.where(single, count, 1)
+            of = np.repeat(np.arange(len(each)), each)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+            keys, start, count, row, single = keys[of], start[of] + nth, np.where(single, 1, count)[of], row[of], single[of]
+            keys = keys.copy()
+            keys[single] = span_hashes(self.data, start[single], start[single] + self.length)
+        self.start, self.count, self.row = start, count, row
+        home = np.searchsorted(np.array([(b << 64) // len(self.buckets) for b in range(1, len(self.buckets))], np.uint64), keys, side="right")
         seen: dict[bytes, int] = {}
-        raw, more = self.raw, self.length - 1
-        self.content = np.fromiter((seen.setdefault(raw[s : s + c + more], len(seen)) for s, c in zip(self.start.tolist(), self.count.tolist())), np.int64, len(self.start))
+        raw, more = self.data.tobytes(), self.length - 1
+        self.content = np.fromiter((seen.setdefault(raw[s : s + c + more], len(seen)) for s, c in zip(start.tolist(), count.tolist())), np.int64, len(start))
         self.pieces = list(seen)
         self.owner = np.full(len(seen), LAST, np.int64)
-        np.minimum.at(self.owner, self.content, self.ids[self.row])
-        home = np.zeros(len(seen), np.int64)
-        home[self.content] = bucket
-        self.part = np.zeros(len(seen), np.uint16)
-        self.part[self.content] = self.keys & np.uint64(PARTS - 1)
-        self.order = np.argsort(home, kind="stable")
-        self.edges = np.searchsorted(home[self.order], np.arange(len(self.fine) + 1))
+        np.minimum.at(self.owner, self.content, self.ids[row])
+        bucket, self.part = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.uint16)
+        bucket[self.content] = home
+        self.part[self.content] = keys & np.uint64(PARTS - 1)
+        self.order = np.argsort(bucket, kind="stable")
+        self.edges = np.searchsorted(bucket[self.order], np.arange(len(self.buckets) + 1))
 
     def ask_pieces(self) -> list[tuple]:
         self.candidates()
         out = []
-        for b, (x, y) in enumerate(zip(self.edges, self.edges[1:])):
-            if y > x:
-                pieces = [self.pieces[i] for i in self.order[x:y]]
-                out.append((int(self.fine[b]), pack(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.uint16), self.owner[self.order[x:y]], self.part[self.order[x:y]])))
+        for b, x, y in parts_of(self.edges):
+            pieces = [self.pieces[i] for i in self.order[x:y]]
+            out.append((int(self.buckets[b]), pack(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.uint16), self.owner[self.order[x:y]], self.part[self.order[x:y]])))
         return out
 
     def removed(self) -> np.ndarray:
@@ -379,18 +348,18 @@ class Block:
         n = len(self.data)
         mark = np.zeros(n + 1, np.int32)
         windows = np.array([len(p) for p in self.pieces], np.int64) - self.length + 1
-        least: list = [None] * len(self.pieces)
-        for b, (x, y) in enumerate(zip(self.edges, self.edges[1:])):
-            if y > x:
-                runs, size, value = unpack(self.got[2][int(self.fine[b])])
-                all_ = np.repeat(value, size)
-                at = 0
-                for i in self.order[x:y]:
-                    least[i] = all_[at : at + windows[i]]
-                    at += windows[i]
+        # answers come by bucket; what each piece is told begins at
+        told, begin, at = [], np.zeros(len(self.pieces), np.int64), 0
+        for b, x, y in parts_of(self.edges):
+            _, size, value = unpack(self.got[2][int(self.buckets[b])])
+            told.append(np.repeat(value, size))
+            own = self.order[x:y]
+            begin[own] = at + np.cumsum(windows[own]) - windows[own]
+            at += len(told[-1])
         if len(self.start):
-            values = np.concatenate([least[i] for i in self.content])
-            position = np.repeat(self.start, self.count) + np.arange(self.count.sum()) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+            nth = np.arange(self.count.sum()) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+            values = np.concatenate(told)[np.repeat(begin[self.content], self.count) + nth]
+            position = np.repeat(self.start, self.count) + nth
             hit = position[values < np.repeat(self.ids[self.row], self.count)]
             np.add.at(mark, hit, 1)
             np.add.at(mark, hit + self.length, -1)
@@ -413,13 +382,14 @@ def _first_ids(payloads: list[bytes]) -> list[bytes]:
 
 
 def _in_several(payloads: list[bytes]) -> list[bytes]:
+    """Which minimisers are in several texts, and which of them are frequent."""
     parts = [unpack(p) for p in payloads]
-    keys = [unpack_keys(k) for k, _ in parts]
-    several = np.concatenate([np.unpackbits(f, count=len(k)).astype(bool) for (_, f), k in zip(parts, keys)])
-    _, inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    flag = count > 1
+    several = np.concatenate([np.unpackbits(p[1], count=len(p[0])).astype(bool) for p in parts])
+    _, inverse, blocks = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
+    total = np.bincount(inverse, np.concatenate([unpack_counts(*p[2:]) for p in parts]))
+    flag = blocks > 1
     flag[inverse[several]] = True
-    return [pack(np.packbits(x)) for x in np.split(flag[inverse], np.cumsum([len(k) for k in keys])[:-1])]
+    return [pack(np.packbits(flag[x]), np.packbits(total[x] > FREQUENT)) for x in np.split(inverse, np.cumsum([len(p[0]) for p in parts])[:-1])]
 
 
 def _owners(length: int):
@@ -467,15 +437,15 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     ids (repeated rows) do not remove from each other. Ids must be below 2**63 - 1. In the remaining text a character
     goes only if all its bytes do, so that it stays valid; digests and counts are of bytes. Other columns are not read.
     """
-    blocks = Blocks(docs, id_col, text_col)
-    keys = (blocks.buckets, blocks.fine)
-    first = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys, length).ask_digests()), 0, _first_ids)
-    several = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys, length).ask_keys(), first), 1, _in_several)
+    blocks = Blocks(docs, id_col, text_col, keep=read, block_bytes=BLOCK_BYTES, bucket_bytes=BLOCK_BYTES)
+    names = blocks.buckets
+    first = blocks.answer(blocks.ask(lambda d, g: Block(d, g, names, length).ask_digests()), 0, _first_ids)
+    several = blocks.answer(blocks.ask(lambda d, g: Block(d, g, names, length).ask_keys(), first), 1, _in_several)
     told = first.unionByName(several)
-    owners = blocks.answer(blocks.ask(lambda d, g: Block(d, g, keys, length).ask_pieces(), told), 2, _owners(length))
+    owners = blocks.answer(blocks.ask(lambda d, g: Block(d, g, names, length).ask_pieces(), told), 2, _owners(length))
 
-    def finish(_, d: pa.Table, got: dict) -> pa.Table:
-        block = Block(d, got, keys, length)
+    def finish(_, d, got):
+        block = Block(d, got, names, length)
         gone = block.removed()
         at = block.offsets.tolist()
         total = np.concatenate([[0], np.cumsum(gone)])
@@ -486,7 +456,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         spans = np.concatenate([[0], np.cumsum(begin)])
         kept = [block.data[a:b][~gone[a:b]].tobytes() for a, b in zip(at, at[1:])]
         out = {
-            "doc_id": d.column("doc_id").combine_chunks(), "n_bytes": np.diff(block.offsets), "n_removed": total[block.offsets[1:]] - total[block.offsets[:-1]],
+            "doc_id": pa.array(block.ids, mask=block.null.astype(bool)), "n_bytes": np.diff(block.offsets), "n_removed": total[block.offsets[1:]] - total[block.offsets[:-1]],
             "n_spans": spans[block.offsets[1:]] - spans[block.offsets[:-1]], "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept],
         }
         if texts:
@@ -503,7 +473,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, digest string" * texts
     result = written(blocks.each(finish, schema, told.unionByName(owners)))
-    blocks.drop()
+    blocks.drop(first, several, owners)
     return result
 
 
