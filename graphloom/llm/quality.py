@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import WORD_BYTE, chunks_of, id_text, span_hashes, utf8_buffer, word_spans
-from .training import SAMPLE_ROWS, labelled_sample
+from .training import SAMPLE_ROWS, sample_rows, shuffled
 
 #: Bytes in a step; steps in a filter, in a chunk, and between the beginnings of chunks.
 STEP, TAPS, CHUNK, HOP = 4, 4, 64, 56
@@ -84,9 +84,9 @@ class ByteCNN:
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x, flag, first, text = layout(data, offsets)
         y = self.convolve(self.steps(x, flag))
-        edges = np.stack([first, np.minimum(first + CHUNK, len(y) - 1)], axis=1).ravel()
-        # overlapping ranges: every other entry is a range, those between are single rows
-        chunk_max = np.maximum.reduceat(y, edges, axis=0)[::2]
+        # overlapping ranges: every other entry is a range, those between are single rows; a spare row stands after the last
+        edges = np.stack([first, first + CHUNK], axis=1).ravel()
+        chunk_max = np.maximum.reduceat(np.concatenate([y, np.zeros((1, FILTERS), np.float32)]), edges, axis=0)[::2]
         return self.pooled(chunk_max, text, len(offsets) - 1) @ self.out + self.bias
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -98,34 +98,34 @@ class ByteCNN:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def fit(texts: list[bytes], y: np.ndarray, passes: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 3, most_bytes: int = 16_384) -> ByteCNN:
-    """Adam on the log loss. In training a long text is represented by stretches of it of ``most_bytes`` bytes, drawn
-    anew in each pass; scoring reads every byte. Without examples the model answers one half."""
+def _batches(sizes: np.ndarray, order: np.ndarray, rows: int, most_bytes: int):
+    """Runs of the order of ``rows`` texts, of fewer where texts are long."""
+    at = 0
+    while at < len(order):
+        total = np.cumsum(sizes[order[at : at + rows]])
+        count = max(1, int(np.searchsorted(total, most_bytes, side="right")))
+        yield order[at : at + min(rows, count)]
+        at += min(rows, count)
+
+
+def fit(texts: list[bytes], y: np.ndarray, passes: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 3, batch_bytes: int = 1 << 18) -> ByteCNN:
+    """Adam on the log loss, over whole texts; a step takes ``batch`` texts, or fewer with ``batch_bytes`` in all (one text
+    at least), so that memory depends on the longest text only. Without examples the model answers one half."""
     rng = np.random.default_rng(seed)
     width = STEP * (EMBED + 1)
     net = ByteCNN(rng.normal(0, 0.5, (257, EMBED)).astype(np.float32), rng.normal(0, (2 / (TAPS * width)) ** 0.5, (TAPS, width, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
     net.embedding[0] = 0
     params = {"embedding": net.embedding, "filters": net.filters, "filter_bias": net.filter_bias, "out": net.out, "bias": np.zeros(1, np.float32)}
     first_moment, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-    turn, total = 0, max(1, passes * -(-len(texts) // batch))
+    sizes = np.array([len(t) for t in texts], np.int64)
+    turn, seen, total = 0, 0, max(1, passes * len(texts))
     for _ in range(passes):
-        order = rng.permutation(len(texts))
-        for a in range(0, len(order), batch):
-            chosen = order[a : a + batch]
-            part = []
-            for i in chosen:
-                t = texts[i]
-                if len(t) > most_bytes:
-                    k = int(rng.integers(0, len(t) - most_bytes + 1))
-                    t = t[k : k + most_bytes]
-                part.append(t)
-            offsets = np.cumsum([0, *map(len, part)])
-            x, flag, first, text = layout(np.frombuffer(b"".join(part), np.uint8), offsets)
+        for chosen in _batches(sizes, rng.permutation(len(texts)), batch, batch_bytes):
+            part = [texts[i] for i in chosen]
+            x, flag, first, text = layout(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]))
             s = net.steps(x, flag)
             conv = net.convolve(s)
-            window = conv[first[:, None] + np.arange(CHUNK)]
-            at = window.argmax(axis=1)
-            chunk_max = np.take_along_axis(window, at[:, None], axis=1)[:, 0]
+            at, chunk_max = _highest(conv, first)
             pooled = net.pooled(chunk_max, text, len(part))
             p = 1 / (1 + np.exp(-(pooled @ net.out + params["bias"][0])))
             g = ((p - y[chosen]) / len(part)).astype(np.float32)
@@ -151,8 +151,8 @@ def fit(texts: list[bytes], y: np.ndarray, passes: int = 5, batch: int = 32, rat
                     to_embedding[:, c] += np.bincount(places, back[:, c], 257)
             to_embedding[0] = 0
             grads["embedding"] = to_embedding
-            turn += 1
-            step = rate * min(1, 2 * (1 - turn / (total + 1)))
+            turn, seen = turn + 1, seen + len(part)
+            step = rate * min(1, 2 * (1 - seen / (total + 1)))
             for k, v in params.items():
                 first_moment[k] += 0.1 * (grads[k] - first_moment[k])
                 second[k] += 0.01 * (grads[k] ** 2 - second[k])
@@ -163,9 +163,30 @@ def fit(texts: list[bytes], y: np.ndarray, passes: int = 5, batch: int = 32, rat
     return net
 
 
+def _highest(conv: np.ndarray, first: np.ndarray, some: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """For each chunk and filter, at which of the chunk's steps the output is highest, and how high; so many chunks at a time."""
+    at, most = [np.zeros((0, FILTERS), np.int64)], [np.zeros((0, FILTERS), np.float32)]
+    for i in range(0, len(first), some):
+        window = conv[first[i : i + some, None] + np.arange(CHUNK)]
+        at.append(window.argmax(axis=1))
+        most.append(np.take_along_axis(window, at[-1][:, None], axis=1)[:, 0])
+    return np.concatenate(at), np.concatenate(most)
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ByteCNN:
-    """Fits on a bounded sample of the labelled documents that are not held out."""
-    return fit(*labelled_sample(docs, labels, "quality", rows))
+    """Fits on a bounded sample of the labelled documents that are not held out; in one task, so that the driver gets the
+    parameters only. The bound is on rows; their texts are whole."""
+    names = ["embedding", "filters", "filter_bias", "out"]
+
+    def run(batches):
+        model = fit(*shuffled([r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)))]))
+        yield pa.RecordBatch.from_arrays([pa.array([getattr(model, n).ravel().astype(float)]) for n in names] + [pa.array([model.bias])], names=[*names, "bias"])
+
+    found = sample_rows(docs, labels, "quality", rows).repartition(1).mapInArrow(run, ", ".join(f"{n} array<double>" for n in names) + ", bias double").collect()
+    if not found:
+        return fit([], np.zeros(0))
+    shapes = [(257, EMBED), (TAPS, STEP * (EMBED + 1), FILTERS), (FILTERS,), (2 * FILTERS,)]
+    return ByteCNN(*(np.array(found[0][n], np.float32).reshape(shape) for n, shape in zip(names, shapes)), float(found[0]["bias"]))
 
 
 def score_documents(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

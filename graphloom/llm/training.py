@@ -16,7 +16,8 @@ HELD_OUT_MODULUS = 4
 def sample_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, text, y of at most ``rows`` labelled documents that are not held out.
 
-    Rows with a null id or label teach nothing; an id that is labelled repeatedly counts once, by its largest label.
+    Rows with a null id or label teach nothing; an id that is labelled repeatedly counts once, by its largest label,
+    and of several texts with one id the smallest is taken.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", HELD_OUT_MODULUS))
@@ -24,7 +25,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMP
         .orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     )
     # at most `rows` ids: the broadcast's size is bounded by the parameter
-    return id_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"])
+    found = id_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
 def shuffled(found: list[tuple]) -> tuple[list[bytes], np.ndarray]:
@@ -33,7 +35,3 @@ def shuffled(found: list[tuple]) -> tuple[list[bytes], np.ndarray]:
     order = np.random.default_rng(7).permutation(len(found))
     return [found[i][1].encode() for i in order], np.array([found[i][2] for i in order], np.float64)
 
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], np.ndarray]:
-    """Whole texts and labels of the sample, in a fixed random order."""
-    return shuffled(sample_rows(docs, labels, label, rows).collect())

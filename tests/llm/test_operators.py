@@ -13,7 +13,7 @@ import xxhash
 
 from graphloom.llm import bpe, hpyp, jaccard, licenses, media_ts, packing, quality, simhash, suffix_dedup, topk, toxicity
 from graphloom.llm.queries import tokenizer_path
-from graphloom.llm.training import labelled_sample
+from graphloom.llm.training import sample_rows, shuffled
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, piece int, block int"
 
@@ -378,12 +378,62 @@ def test_classifiers(spark, kind):
 
 def test_sample_is_bounded_and_not_held_out(spark):
     docs, labels = labelled(spark)
-    texts_, y = labelled_sample(docs, labels, "quality", rows=50)
+    texts_, y = shuffled(sample_rows(docs, labels, "quality", rows=50).collect())
     assert len(texts_) <= 50 and len(y) == len(texts_)
     own = {(r["text"] or "").encode(): r["doc_id"] for r in docs.collect()}
     assert all(zlib.crc32(str(own[t]).encode()) % 4 != 2 for t in texts_)
 
 
+def score_one_by_one(model, text):
+    """The network on one text, byte by byte and step by step."""
+    data = np.frombuffer(text, np.uint8)
+    spans = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", text)]
+    flag = np.zeros(len(data))
+    for (a, b), (c, d) in zip(spans, spans[1:]):
+        if text[a:b] == text[c:d]:
+            flag[c:d] = 1
+    steps = -(-len(data) // quality.STEP)
+    chunks = max(1, -(-(steps - (quality.CHUNK - quality.HOP)) // quality.HOP))
+    room = (chunks - 1) * quality.HOP + quality.CHUNK + quality.TAPS - 1
+    rows = np.zeros((room * quality.STEP, quality.EMBED + 1))
+    rows[:, :-1] = model.embedding[0]
+    for i, x in enumerate(data):
+        rows[i] = [*model.embedding[int(x) + 1], flag[i]]
+    rows = rows.reshape(room, -1)
+    most = []
+    for c in range(chunks):
+        out = [np.maximum(sum(rows[p + k] @ model.filters[k] for k in range(quality.TAPS)) + model.filter_bias, 0) for p in range(c * quality.HOP, c * quality.HOP + quality.CHUNK)]
+        most.append(np.max(out, axis=0))
+    z = np.concatenate([np.max(most, axis=0), np.mean(most, axis=0)]) @ model.out + model.bias
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_scores_do_not_depend_on_neighbours():
+    """Against a plain form of the network, for texts that just fill chunks and end in what no other text has, in any order."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    width = quality.STEP * (quality.EMBED + 1)
+    model = quality.ByteCNN(rng.normal(0, 0.5, (257, quality.EMBED)).astype(np.float32), rng.normal(0, 0.2, (quality.TAPS, width, quality.FILTERS)).astype(np.float32), rng.normal(0, 0.1, quality.FILTERS).astype(np.float32), rng.normal(0, 0.3, 2 * quality.FILTERS).astype(np.float32), 0.1)
+    model.embedding[0] = 0
+    texts = [("same same other " * 100)[: n - 4] + "~#}{" for n in (4, 100, 255, 256, 257, 480, 704, 705, 1500)] + ["", None, "é" * 300]
+    want = {t: score_one_by_one(model, (t or "").encode()) for t in texts}
+    for order in (range(len(texts)), reversed(range(len(texts))), [6], [3, 3], [5, 0]):
+        chosen = [texts[i] for i in order]
+        assert np.allclose(model.scores(pa.array(chosen, pa.string())), [want[t] for t in chosen], atol=1e-5)
+
+
+def test_quality_learns_from_whole_texts():
+    """What tells the labels apart stands beyond the first 16 KB of a text."""
+    rng = random.Random(4)
+    texts_ = [(words(rng, 3000) + (" !!!!####" * 40 if i % 2 else "") + words(rng, 50)).encode() for i in range(60)]
+    model = quality.fit(texts_, np.array([i % 2 for i in range(60)], float), passes=12)
+    import pyarrow as pa
+
+    got = model.scores(pa.array([t.decode() for t in texts_]))
+    assert np.mean((got > 0.5) == (np.arange(60) % 2 == 1)) > 0.9
+
+
 def test_long_text_is_read_to_its_end(spark):
     docs, labels = labelled(spark)
     model = toxicity.fit_on(docs, labels)
@@ -410,68 +460,6 @@ def test_hpyp(docs, texts, odd_docs):
     assert hpyp.score_documents(docs.limit(0)).collect() == []
 
 
-def test_predictions_sum_to_one():
-    """With whole numbers of tables, the model's probabilities over the vocabulary and the unknown word add up to one."""
-    m = hpyp.Model()
-    rng = np.random.default_rng(0)
-    counts = rng.poisson(1.0, (6, 30)) * (rng.random((6, 30)) < 0.5)
-    keys = rng.integers(1, 2**63, (6, 30)).astype(np.uint64)
-    tables = np.array([hpyp.sweeps(keys[u], counts[u], np.full(30, 0.1), m.discount, 1, 1, 2) for u in range(6)])
-    assert ((tables <= counts) & (tables >= np.minimum(counts, 1))).all()
-    dish = tables.sum(axis=0)
-    own = np.minimum(dish, 1.0)
-    v = int((dish > 0).sum())
-    parent = (np.maximum(dish - m.parent_discount * own, 0) + (m.parent_strength + m.parent_discount * own.sum()) / (v + 1) * (dish > 0)) / (m.parent_strength + dish.sum())
-    unknown = (m.parent_strength + m.parent_discount * own.sum()) / (v + 1) / (m.parent_strength + dish.sum())
-    assert math.isclose(parent[dish > 0].sum() + unknown, 1)
-    for u in range(6):
-        p = (counts[u] - m.discount * tables[u] + (m.strength + m.discount * tables[u].sum()) * parent) / (m.strength + counts[u].sum())
-        rest = (m.strength + m.discount * tables[u].sum()) * unknown / (m.strength + counts[u].sum())
-        assert math.isclose(p[dish > 0].sum() + rest, 1)
-
-
-def test_seating_follows_the_conditional_law():
-    """Mean tables of one dish against the exact law S(c, t) w**t, by generalised Stirling numbers."""
-    d, w, c = 0.6, 1.7, 12
-    stirling = {(0, 0): 1.0}
-    for n in range(c):
-        for t in range(n + 2):
-            stirling[n + 1, t] = (n - d * t) * stirling.get((n, t), 0.0) + stirling.get((n, t - 1), 0.0)
-    law = np.array([stirling.get((c, t), 0.0) * w**t for t in range(c + 1)])
-    expected = (law * np.arange(c + 1)).sum() / law.sum()
-    keys = np.arange(1, 4001).astype(np.uint64)
-    mean = hpyp.sweeps(keys, np.full(4000, c), np.full(4000, w), d, 1, 30, 40).mean()
-    assert abs(mean - expected) < 0.04
-
-
-def test_binomial_and_groups():
-    keys = np.arange(1, 20_001).astype(np.uint64)
-    for n, p in ((1, 0.3), (5, 0.2), (5, 0.9), (40, 0.1), (400, 0.3)):
-        got = hpyp.binomial(keys, 9, np.full(len(keys), n), np.full(len(keys), p))
-        assert abs(got.mean() - n * p) < 6 * (n * p * (1 - p) / len(keys)) ** 0.5 and abs(got.std() - (n * p * (1 - p)) ** 0.5) < 0.05 * (n * p * (1 - p)) ** 0.5 + 0.01
-    # seated in groups or one by one, a frequent dish has as many tables
-    tables, _ = hpyp.seat(keys[:3000], np.full(3000, 1500), np.full(3000, 3.0), 0.5, 1)
-    rng, alone = np.random.default_rng(0), np.ones(3000)
-    for i in range(1, 1500):
-        alone += rng.random(3000) < 3.0 / (3.0 + i - 0.5 * alone)
-    assert abs(tables.mean() - alone.mean()) < 0.02 * alone.mean()
-
-
-def test_seating_at_production_parameters():
-    """Mean tables against the exact law with the sweeps of the query; so few sweeps leave them too high."""
-    m, keys = hpyp.Model(), np.arange(1, 20_001).astype(np.uint64)
-    for d, w, c, exact, most in ((0.6, 1.7, 12, 3.787, 0.06), (0.8, 0.5, 60, 1.655, 0.5), (0.8, 0.5, 200, 1.636, 0.75)):
-        mean = hpyp.sweeps(keys, np.full(len(keys), c), np.full(len(keys), w), d, 1, m.burn_in, m.samples).mean()
-        assert abs(mean / exact - 1) < most
-
-
-def test_binomial_within_five_sigma():
-    keys = np.arange(1, 20_001).astype(np.uint64)
-    for n, p in ((1, 0.3), (5, 0.2), (5, 0.9), (40, 0.1), (400, 0.3)):
-        got = hpyp.binomial(keys, 9, np.full(len(keys), n), np.full(len(keys), p))
-        assert abs(got.mean() - n * p) < 5 * (n * p * (1 - p) / len(keys)) ** 0.5
-
-
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
