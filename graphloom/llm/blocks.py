@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, id_text, removed, shuffle_partitions, shuffles_deleted, written
+from .common import ensure_checkpoint_dir, files_removed, id_text, removed, shuffle_partitions, shuffles_deleted, written
 
 #: Text in a block, and text whose keys one bucket answers for.
 BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
@@ -83,8 +83,11 @@ class Blocks:
             return self.docs.groupBy("block").applyInArrow(lambda key, t: run(key[0].as_py(), t, {}), schema)
         return self.docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda key, docs, answers: run(key[0].as_py(), docs, by_kind(answers, "bucket")), schema)
 
-    def answer(self, asked: DataFrame, kind: int, fn: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-        """For each bucket, ``fn`` gets the payloads of all blocks and gives as many answers; kept as a table."""
+    def answer(self, asked: DataFrame, kind: int, fn: Callable[[list[bytes]], list[bytes]], whole: bool = False) -> DataFrame:
+        """For each bucket, ``fn`` gets the payloads of all blocks and gives as many answers; kept as a table. ``whole``: small
+        partitions are not put together, as buckets take much time for their size."""
+        if whole:
+            asked = asked.repartition(shuffle_partitions(self.spark), "bucket")
         return self.answer_with(asked, None, kind, lambda payloads, bucket, got: fn(payloads))
 
     def answer_with(self, asked: DataFrame, told: DataFrame | None, kind: int, fn: Callable[[list[bytes], int, dict], list[bytes]]) -> DataFrame:
@@ -106,7 +109,8 @@ class Blocks:
     def drop(self, *tables: DataFrame) -> None:
         """Removes the blocks' table and the given ``written`` ones; what was derived from them must have been written."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        removed(self.spark, self.path, *[p for t in tables for p in {f.rsplit("/", 1)[0] for f in t.inputFiles()}])
+        removed(self.spark, self.path)
+        files_removed(self.spark, *tables)
 
 
 def by_kind(answers: pa.Table, sender: str) -> dict[int, dict[int, bytes]]:

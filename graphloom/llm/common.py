@@ -48,16 +48,22 @@ def shuffles_deleted(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df``, written once as a table in the shared folder and read again (cuts the lineage)."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df``, written once as a table in the shared folder and read again (cuts the lineage); in folders by a column if given."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     schema = df.schema
     with shuffles_deleted(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def files_removed(spark: SparkSession, *tables: DataFrame, folder: str = "") -> None:
+    """Deletes the files of ``written`` tables that are not needed any more; with ``folder``, those of one value only."""
+    removed(spark, *{f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles() if f"/{folder}" in f})
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

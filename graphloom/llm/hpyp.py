@@ -37,16 +37,17 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, by_kind, cut_by_bucket, grouped, pack, pack_counts, parts_of, unpack, unpack_counts
-from .common import ASCII_LOWER, NOT_BLANK, chunks_of, mix, utf8_buffer, word_keys, word_spans, written
+from .common import ASCII_LOWER, NOT_BLANK, chunks_of, files_removed, mix, utf8_buffer, word_keys, word_spans, written
 from .tables import draw
 
 #: Keys of what is no word: the end of a text, and the context at its beginning (no word's second number is like these).
 END, START = (0, 254 << 56), (1, 254 << 56)
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
-#: Kinds of messages: numbers of words, pairs' answers, words' answers, sums of tables, parents' answers, a sample's parent.
-WORDS, PAIRS, PARENTS, SUMS, SWEEP, SAMPLE = range(1, 7)
+#: Kinds of messages: numbers of words, pairs' answers, words' answers, sums of tables, parents' answers, a bucket's own
+#: draws of pairs, a sample's parent.
+WORDS, PAIRS, PARENTS, SUMS, SWEEP, DRAWN, SAMPLE = range(1, 8)
 ROW = "block long, kind int, bucket long, payload binary"
-STEP = ROW + ", about array<double>"
+STEP = ROW + ", about array<double>, stays boolean"
 
 
 @dataclass(frozen=True)
@@ -253,16 +254,15 @@ class Sums:
         return tuple(np.concatenate([np.zeros(0, np.float32)] + [parts[name][k] for name, _, _, _ in words.parts(numbers)]) for k, numbers in enumerate((self.dish, self.context)))
 
 
-def rows_of(name: int, out: list[tuple[int, int, bytes]], about: list[float] | None = None) -> pa.Table:
-    """Messages (to, kind, payload) of a bucket; with ``about`` one more row, to nobody, says that of it."""
-    to, kind, payload = zip(*out, *([(name, 0, b"")] if about else [])) if out or about else ((), (), ())
-    columns = {"block": pa.array(to, pa.int64()), "kind": pa.array(kind, pa.int32()), "bucket": pa.array([name] * len(to), pa.int64()), "payload": pa.array(payload, pa.binary())}
-    return pa.table(columns | ({"about": pa.array([None] * len(out) + [about], pa.list_(pa.float64()))} if about else {}))
+def rows_of(name: int, out: list[tuple[int, int, bytes]]) -> pa.Table:
+    """Messages (to, kind, payload) of a bucket."""
+    to, kind, payload = zip(*out) if out else ((), (), ())
+    return pa.table({"block": pa.array(to, pa.int64()), "kind": pa.array(kind, pa.int32()), "bucket": pa.array([name] * len(to), pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 
-def seat_parent(words: Words, model: Model, sweep: int, scale: float, fixed: dict[int, bytes], further: dict[int, bytes], name: int, sample: bool) -> pa.Table:
+def seat_parent(words: Words, model: Model, sweep: int, scale: float, fixed: dict[int, bytes], further: dict[int, bytes], name: int) -> tuple[list[tuple], bytes, list[float]]:
     """A bucket of words: adds up the tables of its words and contexts (``fixed``: one a pair; ``further``: those beyond),
-    draws the parent's tables and the contexts' x, and answers each bucket of pairs."""
+    draws the parent's tables and the contexts' x. Gives the answers to buckets of pairs, the sample, and its customers and tables."""
     bucket = int(np.flatnonzero(words.names == name)[0])
     size = int(words.begin[bucket + 1] - words.begin[bucket])
     dish, own, asked = np.zeros(size), np.zeros(size), []
@@ -279,10 +279,7 @@ def seat_parent(words: Words, model: Model, sweep: int, scale: float, fixed: dic
     tables = draw(dish.astype(np.int64), weight, model.parent_discount, rng)
     x = (model.discount * rng.standard_gamma(model.strength / model.discount + own)).astype(np.float32)
     gain = (dish - model.parent_discount * tables).astype(np.float32)
-    rows = [(sender, SWEEP, pack(gain[d], x[c])) for sender, d, c in asked]
-    if sample:
-        rows.append((name, SAMPLE + sweep, pack(gain, own.astype(np.float32))))
-    return rows_of(name, rows, [float(dish.sum()), float(tables.sum())])
+    return [(sender, SWEEP, pack(gain[d], x[c])) for sender, d, c in asked], pack(gain, own.astype(np.float32)), [float(dish.sum()), float(tables.sum())]
 
 
 # ---- holders of pairs -------------------------------------------------------------------------------
@@ -353,65 +350,72 @@ def score_documents(docs: DataFrame, model: Model = Model(), id_col: str = "doc_
     state, fixed = counted.where(F.col("kind") == PAIRS), counted.where(F.col("kind") == SUMS)
 
     def seat_pairs(told: DataFrame, sweep: int, totals: np.ndarray) -> DataFrame:
-        """The draws of one sweep, as sums for the holders of words."""
+        """The draws of one sweep, and their sums for the holders of words."""
 
         def run(key, own, told):
             name = key[0].as_py()
-            out = {}
+            out = []
             for payload in own.column("payload").to_pylist():
                 context, word, *n = unpack(payload)
                 pairs = Pairs(context, word, unpack_counts(*n))
-                out = pairs.further(words, pairs.seat(words, model, sweep, name, totals, by_kind(told, "bucket").get(SWEEP, {})))
-            return rows_of(name, [(to, SWEEP, p) for to, p in out.items()])
+                tables = pairs.seat(words, model, sweep, name, totals, by_kind(told, "bucket").get(SWEEP, {}))
+                out = [(to, SWEEP, p) for to, p in pairs.further(words, tables).items()] + [(name, DRAWN, pack(*pack_counts(tables)))]
+            return rows_of(name, out)
 
         return state.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, ROW)
 
     def seat_parents(further: DataFrame, sweep: int, tables: float) -> tuple[DataFrame, np.ndarray]:
+        """What a sweep leads to: rows for the next one, and, after the burn-in, rows that stay: the sample's parent and the
+        draws of pairs that it comes from, which only pass through here."""
         scale = float(model.rng(3, sweep).standard_gamma(model.parent_strength / model.parent_discount + tables))
         sample = sweep > model.burn_in
 
         def run(key, t):
-            got = by_kind(t, "bucket")
-            return seat_parent(words, model, sweep, scale, got.get(SUMS, {}), got.get(SWEEP, {}), key[0].as_py(), sample)
-
-        step = fixed.unionByName(further).groupBy("block").applyInArrow(run, STEP)
-        seen = Observation()
-        out = written(step.observe(seen, *[F.sum(F.get("about", F.lit(i))).alias(f"s{i}") for i in range(2)]))
+            got, name = by_kind(t, "bucket"), key[0].as_py()
+            answers, parent, about = seat_parent(words, model, sweep, scale, got.get(SUMS, {}), got.get(SWEEP, {}), name)
+            stay = [(name, SAMPLE, parent)] + [(name, DRAWN, p) for p in got.get(DRAWN, {}).values()] if sample else []
+            out = rows_of(name, [*answers, *stay, (name, 0, b"")])
+            return out.append_column("about", pa.array([None] * (len(out) - 1) + [about], pa.list_(pa.float64()))).append_column("stays", pa.array([False] * len(answers) + [True] * len(stay) + [False]))
+
+        step, seen = fixed.unionByName(further).groupBy("block").applyInArrow(run, STEP), Observation()
+        out = written(step.observe(seen, *[F.sum(F.get("about", F.lit(i))).alias(f"s{i}") for i in range(2)]), by="stays")
         return out, np.array([seen.get[f"s{i}"] or 0.0 for i in range(2)])
 
-    further, tables, steps, totals = counted.where(F.col("kind") == SWEEP), float(vocabulary), [], []
-    last = model.burn_in + model.samples
-    for sweep in range(last + 1):
+    further, tables, kept, totals = counted.where(F.col("kind") == SWEEP), float(vocabulary), [], []
+    before = None
+    for sweep in range(model.burn_in + model.samples + 1):
         step, total = seat_parents(further, sweep, tables)
-        steps.append(step)
-        totals.append(total)
-        tables = float(total[1])
-        further = seat_pairs(steps[-1].where(F.col("kind") == SWEEP), sweep, totals[-1])
-    kept = range(model.burn_in, last)
+        if before is not None:
+            files_removed(blocks.spark, before, folder="stays=false")
+        if sweep > model.burn_in:
+            kept.append(step.where("stays").select("block", (F.col("kind") + 2 * len(kept)).alias("kind"), "bucket", "payload"))
+            totals.append(total)
+        before, tables = step.where("NOT stays"), float(total[1])
+        further = seat_pairs(before.where(F.col("kind") == SWEEP).select("block", "kind", "bucket", "payload"), sweep, total)
+    files_removed(blocks.spark, before, folder="stays=false")
+    samples = reduce(DataFrame.unionByName, kept)
 
     def answer_pairs(payloads: list[bytes], name: int, got: dict) -> list[bytes]:
-        """Counts of pairs and their tables summed over the samples, by the draws of the sweeps again."""
-        context, word, n, group, cuts = count_pairs(payloads)
+        """Counts of pairs and their tables summed over the samples."""
+        _, _, n, group, cuts = count_pairs(payloads)
         several = np.flatnonzero(n > 1)
-        pairs = Pairs(context[several], word[several], n[several])
         tables = np.minimum(n, 1) * model.samples
         if len(several):
-            tables[several] = sum(pairs.seat(words, model, s, name, totals[s], got[s]) for s in kept)
+            tables[several] = sum(unpack_counts(*unpack(got[DRAWN + 2 * s][name])) for s in range(model.samples))
         return [pack(*pack_counts(n[g]), *pack_counts(tables[g])) for g in np.split(group, cuts)]
 
     def answer_parents(payloads: list[bytes], name: int, got: dict) -> list[bytes]:
-        samples = [x for s in kept for x in unpack(got[SAMPLE + s + 1][name])] if got else []
-        return [pack(*[x[unpack(p)[0]] for x in samples]) if samples else pack(*[np.zeros(len(unpack(p)[0]), np.float32)] * (2 * model.samples)) for p in payloads]
+        """What the samples say of the words: what they gain in the parent, and their own tables."""
+        parents = [x for s in range(model.samples) for x in unpack(got[SAMPLE + 2 * s][name])] if got else []
+        return [pack(*[x[unpack(p)[0]] for x in parents]) if parents else pack(*[np.zeros(len(unpack(p)[0]), np.float32)] * (2 * model.samples)) for p in payloads]
 
-    seated = reduce(DataFrame.unionByName, [steps[s].where(F.col("kind") == SWEEP).select("block", F.lit(s).alias("kind"), "bucket", "payload") for s in kept])
-    parents = reduce(DataFrame.unionByName, [steps[s + 1].where(F.col("kind") > SAMPLE).select("block", "kind", "bucket", "payload") for s in kept])
-    of_pairs = blocks.answer_with(ask_pairs(), seated, PAIRS, answer_pairs)
-    of_words = blocks.answer_with(blocks.ask(lambda d, g: Block(d, g, names).ask_parents(words), answered), parents, PARENTS, answer_parents)
+    of_pairs = blocks.answer_with(ask_pairs(), samples.where(F.col("kind") % 2 == DRAWN % 2), PAIRS, answer_pairs)
+    asked = blocks.ask(lambda d, g: Block(d, g, names).ask_parents(words), answered)
+    of_words = blocks.answer_with(asked, samples.where(F.col("kind") % 2 == SAMPLE % 2), PARENTS, answer_parents)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + ", token_log10 array<double>" * per_token
-    of_samples = [totals[s + 1] for s in kept]
     told = answered.unionByName(of_pairs).unionByName(of_words)
-    result = written(blocks.each(lambda _, d, g: Block(d, g, names).score(words, of_samples, model, per_token), schema, told))
-    blocks.drop(answered, counted, of_pairs, of_words, *steps)
+    result = written(blocks.each(lambda _, d, g: Block(d, g, names).score(words, totals, model, per_token), schema, told))
+    blocks.drop(answered, counted, of_pairs, of_words, *kept)
     return result
 
 
