@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .blocks import Blocks, cut_by_bucket, pack, pack_counts, parts_of, unpack, unpack_counts
 from .common import chunks_of, mix, span_hashes, utf8_buffer, written
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 #: Windows in one stretch at most; stretches from which on a minimiser's windows are dealt one by one.
 STRETCH, FREQUENT = 64, 2048
 #: Bytes of one suffix array: a shard with more is split by further bits of what its pieces are dealt by.
@@ -48,10 +48,10 @@ def _types(t: np.ndarray) -> np.ndarray:
     n = len(t)
     out = np.zeros(n, bool)
     out[-1] = True
-    change = np.flatnonzero(t[:-1] != t[1:])
     # a run of equal characters has the type of its last one
-    run_end = change[np.minimum(np.searchsorted(change, np.arange(n - 1)), len(change) - 1)] if len(change) else np.zeros(n - 1, np.int64)
-    out[:-1] = t[run_end] < t[np.minimum(run_end + 1, n - 1)]
+    last = np.where(t[:-1] != t[1:], np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
+    last = np.minimum.accumulate(last[::-1])[::-1]
+    out[:-1] = t[last] < t[np.minimum(last + 1, n - 1)]
     return out
 
 
@@ -62,43 +62,47 @@ def _scan(t: np.ndarray, goes: np.ndarray, order: np.ndarray, free: np.ndarray)
     Entries go in batches: as many as stand before every place that the batch itself fills.
     """
     n, at, size = len(order), 0, 1024
+    # nothing goes from where nothing is yet (-1), or from the beginning (0)
+    goes = np.concatenate([goes, [False, False]])
     while at < n:
-        batch = order[at : at + size]
-        who = np.flatnonzero(batch > 0)
-        before = batch[who] - 1
-        some = goes[before]
-        who, before = who[some], before[some]
-        if not len(who):
-            at += len(batch)
-            size = min(2 * size, 1 << 16)
-            continue
-        bucket = t[before]
-        bound = np.minimum.accumulate(free[bucket]) - at
-        late = np.flatnonzero(who[1:] >= bound[:-1])
-        count = int(late[0]) + 1 if len(late) else len(who)
-        before, bucket = before[:count], bucket[:count]
-        by = np.argsort(bucket, kind="stable")
-        before, bucket = before[by], bucket[by]
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        sizes = np.diff(np.append(first, count))
-        order[free[bucket] + np.arange(count) - np.repeat(first, sizes)] = before
-        free[bucket[first]] += sizes
-        done = min(len(batch), int(bound[count - 1]))
+        before = order[at : at + size] - 1
+        done = len(before)
+        who = goes[before].nonzero()[0]
+        if len(who):
+            before = before[who]
+            bucket = t[before]
+            bound = np.minimum.accumulate(free[bucket]) - at
+            late = (who[1:] >= bound[:-1]).nonzero()[0]
+            if len(late):
+                count = int(late[0]) + 1
+                before, bucket, bound = before[:count], bucket[:count], bound[:count]
+            by = bucket.argsort(kind="stable")
+            before, bucket = before[by], bucket[by]
+            edges = (bucket[1:] != bucket[:-1]).nonzero()[0] + 1
+            first = np.zeros(len(edges) + 1, np.int32)
+            first[1:] = edges
+            sizes = np.empty_like(first)
+            sizes[:-1] = edges - first[:-1]
+            sizes[-1] = len(bucket) - first[-1]
+            target = bucket[first]
+            order[np.repeat(free[target] - first, sizes) + np.arange(len(bucket), dtype=np.int32)] = before
+            free[target] += sizes
+            done = min(done, int(bound[-1]))
         at += done
-        size = min(2 * size, 1 << 16) if done == len(batch) else max(256, 2 * done)
+        size = min(2 * size, 1 << 16) if done >= size else max(256, 2 * done)
 
 
 def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """All suffixes in the order that the given order of the leftmost-smaller ones induces: larger ones from left to
     right, then smaller ones from right to left (the same pass over mirrored places and characters)."""
     n = len(t)
-    end = np.cumsum(np.bincount(t, minlength=k))
+    size = np.bincount(t, minlength=k)
+    end = np.cumsum(size)
     number = np.bincount(t[lms], minlength=k)
-    order = np.full(n, -1, np.int64)
-    placed = lms[np.argsort(t[lms], kind="stable")]
-    order[np.arange(len(lms)) + np.repeat(end - np.cumsum(number), number)] = placed
-    _scan(t, ~s_type, order, end - np.bincount(t, minlength=k))
-    _scan(k - 1 - t, s_type, order[::-1], (n - end)[::-1].copy())
+    order = np.full(n, -1, np.int32)
+    order[np.arange(len(lms)) + np.repeat(end - np.cumsum(number), number)] = lms[np.argsort(t[lms], kind="stable")]
+    _scan(t, ~s_type, order, (end - size).astype(np.int32))
+    _scan((k - 1 - t.astype(np.int32)).astype(t.dtype), s_type, order[::-1], (n - end)[::-1].astype(np.int32))
     return order
 
 
@@ -107,12 +111,13 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
-    t = t.astype(np.int64)
+    # up to 16 bits numpy sorts by radix
+    t = t.astype(np.uint16 if k <= 1 << 16 else np.int32)
     s_type = _types(t)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(lms) > 1:
         rough = _induce(t, s_type, lms, k)
-        mark = np.full(n, -1, np.int64)
+        mark = np.full(n, -1, np.int32)
         mark[lms] = np.arange(len(lms))
         in_order = mark[rough]
         in_order = in_order[in_order >= 0]
@@ -126,7 +131,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
             same[todo[~equal]] = False
             todo = todo[equal]
             depth += 1
-        name = np.empty(len(lms), np.int64)
+        name = np.empty(len(lms), np.int32)
         name[in_order] = np.concatenate([[0], np.cumsum(~same)])
         names = int(name[in_order[-1]]) + 1
         # where names repeat, the text of names is sorted in the same way
@@ -202,7 +207,8 @@ def smallest_owner(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH)
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, first window and number of windows of each stretch of these texts."""
+    """Minimiser, first window and number of windows of each stretch of these texts. Smallest hashes are small numbers, so
+    they are scrambled once more: what follows deals by their leading bits."""
     keys, firsts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j in chunks_of(offsets, 2 << 20):
         base, end = offsets[i], offsets[j]
@@ -234,7 +240,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True)) + 1
         pieces = -(-(stop - at) // STRETCH)
         start = np.repeat(at, pieces) + STRETCH * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        keys.append(np.repeat(m[at], pieces))
+        keys.append(np.repeat(mix(m[at]), pieces))
         firsts.append(start + base)
         counts.append(np.minimum(STRETCH, np.repeat(stop, pieces) - start))
     return np.concatenate(keys), np.concatenate(firsts), np.concatenate(counts)
@@ -442,7 +448,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     first = blocks.answer(blocks.ask(lambda d, g: Block(d, g, names, length).ask_digests()), 0, _first_ids)
     several = blocks.answer(blocks.ask(lambda d, g: Block(d, g, names, length).ask_keys(), first), 1, _in_several)
     told = first.unionByName(several)
-    owners = blocks.answer(blocks.ask(lambda d, g: Block(d, g, names, length).ask_pieces(), told), 2, _owners(length))
+    owners = blocks.answer(blocks.ask(lambda d, g: Block(d, g, names, length).ask_pieces(), told), 2, _owners(length), whole=True)
 
     def finish(_, d, got):
         block = Block(d, got, names, length)
