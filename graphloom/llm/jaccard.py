@@ -1,4 +1,10 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""The SimHash near-duplicate search completed to a Jaccard similarity of word shingles.
+
+Covering tables of SimHash fingerprints of the same shingles (see simhash) come
+first: what they find within the radius is compared exactly, and what is similar
+is linked, which connects most of a group of close copies at once. A similarity of
+0.8 leaves fingerprints about ten bits apart, which no covering of feasible size
+guarantees; the rest is found as follows, so that no pair is lost.
 
 Sets of a similarity of at least t share one of the first n - ceil(t n) + 1 of
 their n members, in any order that is the same for all sets. Members go in the
@@ -6,9 +12,9 @@ order of their frequency in the corpus, so that these prefixes hold few members
 that other sets have; only those meet. What meets is compared exactly, so every
 pair is found and no other.
 
-Equal sets are one node from the start. Sets that meet are first compared with
-one of their bucket, which connects large groups by few comparisons; at the end
-all that meet and are not connected yet are compared.
+Equal sets are one node from the start. Sets that meet and are not connected yet
+are first compared with one of their bucket, which connects large groups by few
+comparisons; at the end all that meet and are not connected yet are compared.
 """
 
 from __future__ import annotations
@@ -21,13 +27,16 @@ from pyspark.sql import functions as F
 
 from .blocks import Blocks, cut_by_bucket, pack, pack_counts, unpack, unpack_counts
 from .common import ASCII_LOWER, NOT_BLANK, chunks_of, id_text, mix, span_hashes, utf8_buffer, word_spans, written
-from .simhash import NO_ID, components
+from .simhash import NO_ID, components, fingerprints
+from .simhash import near_links as near_fingerprints
 
 SHINGLE = 5
 #: The least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
 #: Rounds that compare with one of each bucket before all that is left is compared.
 STARS = 1
+#: Bits that fingerprints of the covering tables may differ in.
+RADIUS = 3
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +144,16 @@ def similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFr
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def by_fingerprint(nodes: DataFrame, sets: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
+    """Similar pairs (a, b) that connect, or are, those whose SimHash fingerprints differ in RADIUS bits at most."""
+    prints = written(fingerprints(nodes, shingle).withColumnRenamed("doc_id", "node"))
+    # different sets may share a fingerprint: they are compared with the first that has it
+    first = written(prints.groupBy("fp").agg(F.min("node").alias("a")))
+    same = prints.join(first, "fp").where("node != a").select("a", F.col("node").alias("b"))
+    near = near_fingerprints(first.select(F.col("a").alias("node"), "fp"), RADIUS)
+    return written(similar(same.unionByName(near), sets, least))
+
+
 def near_links(nodes: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
     """node, root for every one of the nodes (doc_id, text; distinct sets) that is similar to another."""
     blocks = Blocks(nodes, keep=_state(shingle))
@@ -146,7 +165,9 @@ def near_links(nodes: DataFrame, shingle: int, least: tuple[int, int]) -> DataFr
     met = both.where("shingle IS NOT NULL").select("shingle", "node", "n", "rest", F.col("node").alias("root"))
     # sizes of similar sets differ by so much at most; and at the first member that both have, so many must be left in either
     near = (F.least("n", "n_") * least[1] >= F.greatest("n", "n_") * least[0]) & (F.least("rest", "rest_") * sum(least) >= (F.col("n") + F.col("n_")) * least[0])
-    links = roots = None
+    links = by_fingerprint(nodes, sets, shingle, least)
+    roots = components(links)
+    met = met.drop("root").join(roots, "node", "left").select("shingle", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
     for turn in range(STARS + 1):
         several = met.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
         met = written(met.join(several, "shingle", "left_semi"))
@@ -159,8 +180,7 @@ def near_links(nodes: DataFrame, shingle: int, least: tuple[int, int]) -> DataFr
         if turn == STARS:
             pairs = pairs.where("node < node_")
         pairs = pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
-        found = written(similar(pairs, sets, least))
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(written(similar(pairs, sets, least)))
         roots = components(links)
         if turn < STARS:
             met = met.drop("root").join(roots, "node", "left").select("shingle", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
