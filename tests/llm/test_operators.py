@@ -51,25 +51,53 @@ def by_id(df):
     return rows
 
 
+def top_k_by_brute_force(rows, is_query, k=5):
+    """rows: (id, whole vector), every row a query and a candidate of its own."""
+    out = []
+    for i, (q, v) in enumerate(rows):
+        if is_query(q):
+            scores = [(-sum(x * y for x, y in zip(v, w)), c, j) for j, (c, w) in enumerate(rows) if j != i and len(w) == len(v)]
+            out += [(q, r + 1, c, -s) for r, (s, c, _) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
-    v = rng.normal(0, 0.2, (1500, 8)).astype(np.float32)
+    v = rng.normal(0, 0.2, (900, 8)).astype(np.float32)
     v[100:140] = v[50]  # ties
     rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)]
-    rows += [(2000, None, 0), (2050, [1.0, None], 0), (2100, [float("nan")] * 8, 0), (2150, [], 0), (None, [0.1] * 8, 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    got = collections.defaultdict(list)
-    for r in topk.top_k(df, lambda i: i % 50 == 0).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    whole = np.floor(256 * v.astype(float)).astype(np.int64)
-    assert set(got) == set(range(0, 1500, 50))
-    for q, found in got.items():
-        s = whole @ whole[q]
-        want = sorted((-int(x), i) for i, x in enumerate(s) if i != q)[:5]
-        assert found == [(i, -x) for x, i in want]
+    rows += [(50, rows[50][1], 1), (50, rows[51][1], 1)]  # a query row twice, and another with its id
+    good = [(i, [math.floor(256 * x) for x in r]) for i, r, _ in rows]
+    odd = [(2000, None, 0), (2050, [1.0, None], 0), (2100, [float("nan")] * 8, 0), (2150, [], 0), (2151, [], 0), (2200, [float("inf")] * 8, 0), (None, [0.1] * 8, 0)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, rank int")
+    got = sorted(tuple(r) for r in topk.top_k(df, lambda i: i % 50 == 0).collect())
+    assert got == top_k_by_brute_force(good + [(2150, []), (2151, [])], lambda i: i % 50 == 0)
     assert topk.top_k(df.limit(0), lambda i: i % 50 == 0).collect() == []
 
 
+@pytest.mark.parametrize("dims, large", [(2, 20_000.0), (1024, 20_000.0), (3, 1e12)])
+def test_top_k_of_large_components(spark, dims, large):
+    """Products beyond what doubles hold exactly, that differ in their last digits only."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [large + float(x) / 256 for x in rng.integers(0, 3, dims)]) for i in range(60)]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()) if large < 1e6 else None
+    if got is None:
+        with np.errstate(over="ignore"):
+            assert topk.exact_type(np.array([[2**50]]), np.array([[2**50]])) is object
+        return
+    assert got == top_k_by_brute_force([(i, [math.floor(256 * x) for x in v]) for i, v in rows], lambda i: i % 20 == 0)
+
+
+def test_shards_that_cannot_help_are_not_searched(spark):
+    """Clusters far apart: most shards' boxes stay below every floor."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (40, 6))
+    rows = [(i, [float(x) for x in centres[i % 40] * 3 + rng.normal(0, 0.02, 6)]) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    told = topk.top_k(df, lambda i: i % 4000 == 0, report=True).collect()
+    assert all(r["searched"] <= r["shards"] for r in told) and sum(r["searched"] for r in told) < sum(r["shards"] for r in told)
+
+
 def test_transport_stream(docs, texts, odd_docs):
     got = by_id(media_ts.read(media_ts.store(docs)))
     for i, t in enumerate(texts):
