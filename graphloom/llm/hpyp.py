@@ -33,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, by_kind, cut_by_bucket, grouped, pack, pack_counts, parts_of, unpack, unpack_counts
@@ -377,9 +377,8 @@ def score_documents(docs: DataFrame, model: Model = Model(), id_col: str = "doc_
             out = rows_of(name, [*answers, *stay, (name, 0, b"")])
             return out.append_column("about", pa.array([None] * (len(out) - 1) + [about], pa.list_(pa.float64()))).append_column("stays", pa.array([False] * len(answers) + [True] * len(stay) + [False]))
 
-        step, seen = fixed.unionByName(further).groupBy("block").applyInArrow(run, STEP), Observation()
-        out = written(step.observe(seen, *[F.sum(F.get("about", F.lit(i))).alias(f"s{i}") for i in range(2)]), by="stays")
-        return out, np.array([seen.get[f"s{i}"] or 0.0 for i in range(2)])
+        out = written(fixed.unionByName(further).groupBy("block").applyInArrow(run, STEP), by="stays")
+        return out, np.array([x or 0.0 for x in out.agg(*[F.sum(F.get("about", F.lit(i))) for i in range(2)]).first()])
 
     further, tables, kept, totals = counted.where(F.col("kind") == SWEEP), float(vocabulary), [], []
     before = None
