@@ -130,23 +130,22 @@ def components(links: DataFrame) -> DataFrame:
     Each round keeps the edges in a table in the shared folder; minima are pre-aggregated, so a hub is no hot key.
     """
 
-    def mark(edges: DataFrame) -> tuple:
-        r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        return r["n"], r["s"]
+    def both_ways(edges: DataFrame) -> DataFrame:
+        return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+    def tangled(edges: DataFrame) -> bool:
+        """Whether a node with a smaller neighbour has another neighbour too: in a star no leaf has."""
+        found = both_ways(edges).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("m < u AND n > 1")
+        return found.agg(F.count("*")).first()[0] > 0
 
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = mark(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while tangled(edges):
+        both = both_ways(edges)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         stars = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = stars.groupBy("u").agg(F.min("v").alias("m"))
         edges = stars.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = written(edges)
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -510,3 +510,25 @@ def test_pipeline(spark, tmp_path):
             brute = removed_by_brute_force([(r["doc_id"], (r["text"] or "").encode()) for r in before.collect()], 50)
             assert set(kept) == {i for i, n, gone, *_ in brute if gone < n or not gone}
     assert now.agg({"length": "max"}).first()[0] <= 1024
+
+
+@pytest.mark.parametrize("shape", ["path", "random", "star", "loops", "empty"])
+def test_components_of_any_shape(spark, shape):
+    rng = np.random.default_rng(5)
+    order = rng.permutation(300).tolist()
+    links = {
+        "path": list(zip(order, order[1:])), "random": rng.integers(0, 300, (200, 2)).tolist(), "star": [(7, i) for i in range(300)],
+        "loops": [(3, 3), (1, 2), (2, 1), (1, 2)], "empty": [],
+    }[shape]
+    parent = {x: x for pair in links for x in pair}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame([tuple(p) for p in links], "a long, b long")).collect()}
+    assert got == {x: root(x) for x in parent if root(x) != x}
