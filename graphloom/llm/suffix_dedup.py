@@ -33,7 +33,7 @@ LENGTH, GRAM = 50, 20
 #: Windows in one stretch at most; stretches from which on a minimiser's windows are dealt one by one.
 STRETCH, FREQUENT = 64, 2048
 #: Bytes of one suffix array: a shard with more is split by further bits of what its pieces are dealt by.
-SHARD_BYTES, PARTS = 1 << 20, 4096
+SHARD_BYTES, PARTS = 1 << 18, 4096
 #: Text of a block, and text for each bucket of stretches.
 BLOCK_BYTES = 4 << 20
 #: Stands for a null id: later than every other, and not before another null.
@@ -210,7 +210,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     """Minimiser, first window and number of windows of each stretch of these texts. Smallest hashes are small numbers, so
     they are scrambled once more: what follows deals by their leading bits."""
     keys, firsts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j in chunks_of(offsets, 2 << 20):
+    # so much at a time that the hashes stay in a core's cache
+    for i, j in chunks_of(offsets, 1 << 18):
         base, end = offsets[i], offsets[j]
         part = data[base:end]
         if len(part) < length:
