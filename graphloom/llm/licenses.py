@@ -58,6 +58,34 @@ The above copyright notice and this permission notice shall be included in all c
     ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
 ]
 
+#: SHA-256 of the canonical form of longer public licences, as they are commonly distributed. They follow from
+#: ``canonical``; a test computes them again from the texts where a machine has these.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", "c4613abc25c25ce20595a7a2e02036d5081280244caf03cf7c548a62ab4be99c"),
+    ("GPL-2.0", "6a37b37e4b1cf0da9da2e7e6e75ee31775d6285bf2ed6189d14c9b3fd315c28d"),
+    ("GPL-3.0", "335e2e9a39badb7f3faa5b6e393ff8b393f868383be9ddbf866c5821b34f4810"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "469a6324726e3318515c938121859a1acfaba5d131d662968839e23a92b8a873"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]
+#: Titles that stand above the texts of KNOWN_LICENSES in files; each is known with its titles and without.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "MIT-0": ["MIT No Attribution"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License"],
+}
+
+
+def titled(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The texts, and each again under each of its titles."""
+    return [*texts, *((name, f"{title}\n\n{text}") for name, text in texts for title in TITLES.get(name, []))]
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null becomes the empty text."""
@@ -72,9 +100,12 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """license_id, digest of the given (or the built-in) texts; the list's size does not grow with the documents."""
-    rows = spark.createDataFrame(texts or KNOWN_LICENSES, "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("license_digest")).groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
+    """license_id, digest of the given texts (or of the built-in list); the list's size does not grow with the documents."""
+    rows = spark.createDataFrame(texts or titled(KNOWN_LICENSES), "license_id string, text string")
+    digests = rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("license_digest"))
+    if not texts:
+        digests = digests.unionByName(spark.createDataFrame(KNOWN_DIGESTS, "license_id string, license_digest string"))
+    return digests.groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,8 +136,10 @@ def oracle_sql() -> str:
             x = f"replace({x}, ' {spelling} ', ' {kept} ')"
         return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
 
-    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN_LICENSES)
-    return f"""WITH raw(license_id, text) AS (VALUES {values}),
-known AS (SELECT sha256({form('text')}) AS license_digest, min(license_id) AS license_id FROM raw GROUP BY 1),
+    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in titled(KNOWN_LICENSES))
+    digests = ", ".join(f"({quoted(n)}, {quoted(d)})" for n, d in KNOWN_DIGESTS)
+    return f"""WITH raw(license_id, text) AS (VALUES {values}), long(license_id, license_digest) AS (VALUES {digests}),
+named AS (SELECT license_id, sha256({form('text')}) AS license_digest FROM raw UNION ALL SELECT license_id, license_digest FROM long),
+known AS (SELECT license_digest, min(license_id) AS license_id FROM named GROUP BY 1),
 forms AS (SELECT doc_id, sha256({form('text')}) AS digest FROM documents)
 SELECT doc_id, digest, license_id FROM forms LEFT JOIN known ON digest = license_digest AND digest <> sha256('')"""

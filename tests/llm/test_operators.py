@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -532,3 +534,27 @@ def test_components_of_any_shape(spark, shape):
         parent[b] = a
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame([tuple(p) for p in links], "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent if root(x) != x}
+
+
+#: Where a machine may have the texts, and the identifiers of their file names.
+LICENSE_FILES = "/usr/share/common-licenses"
+LICENSE_NAMES = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_whole_license_files(spark, tmp_path):
+    """Longer licences are known in other case, punctuation and spelling; titled ones with their titles; the SQL agrees."""
+    rows = [(f"{title}\n\nCopyright (c) 2020 Someone\n\n{text}", name) for name, text in licenses.KNOWN_LICENSES for title in licenses.TITLES.get(name, [])]
+    for file, name in LICENSE_NAMES.items():
+        path = os.path.join(LICENSE_FILES, file)
+        if os.path.exists(path):
+            with open(path) as f:
+                text = f.read()
+            rows += [(text, name), (re.sub(r"\bLICENSE(S?)\b", r"LICENCE\1", text.upper()).replace(",", " ; "), name), (text + " and more", None)]
+    rows += [("Copyright 2020 by nobody", None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["digest"], r["license_id"]) for r in licenses.scan(df).collect()}
+    assert [got[i][1] for i in range(len(rows))] == [name for _, name in rows]
+    df.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    assert {i: (d, n) for i, d, n in con.execute(f"SELECT doc_id, digest, license_id FROM ({licenses.oracle_sql()})").fetchall()} == got
